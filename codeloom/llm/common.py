@@ -68,6 +68,16 @@ def _powers(r: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return got[0][:n], got[1][:n]
 
 
+def planes(a: np.ndarray) -> bytes:
+    """The bytes of an array, by significance: the empty high bytes of small numbers then compress to nothing."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
+
+
+def unplanes(parts: list[bytes], kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.concatenate([np.zeros(0, kind), *(np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(size, -1).T).view(kind)[:, 0] for x in parts)])
+
+
 class RollingHash:
     """Rabin-Karp hashes, modulo 2^64, of any byte spans of a buffer, from prefix sums."""
 
@@ -76,6 +86,12 @@ class RollingHash:
         self.prefix = np.zeros(len(data) + 1, U64)
         np.cumsum((data.astype(U64) + U64(1)) * up[:-1], out=self.prefix[1:])
 
+    def windows(self, size: int) -> np.ndarray:
+        """The spans of that size from every place."""
+        if len(self.prefix) <= size:
+            return np.zeros(0, U64)
+        return mix((self.prefix[size:] - self.prefix[:-size]) * self.down[:-size])
+
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.prefix[end] - self.prefix[start]) * self.down[start])
 
@@ -94,17 +110,17 @@ def blocked(docs: DataFrame, size: int, *keys: str, whole_rows: bool = False) ->
     return docs.select(F.pmod(F.xxhash64(*keys), F.lit(n)).alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct("*").alias("row")] if whole_rows else []))
 
 
-SENT = "bucket int, block long, keys binary, counts binary, first binary, second binary"
-TOLD = "block long, kind int, keys binary, totals binary, leads binary"
-SENT_SCHEMA = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ("keys", "counts", "first", "second"))])
-TOLD_SCHEMA = pa.schema([("block", pa.int64()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("keys", "totals", "leads"))])
+SENT = "bucket int, block long, keys binary, counts binary, notes binary, first binary, second binary"
+TOLD = "block long, kind int, keys binary, totals binary, leads binary, open binary"
+SENT_SCHEMA = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ("keys", "counts", "notes", "first", "second"))])
+TOLD_SCHEMA = pa.schema([("block", pa.int64()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("keys", "totals", "leads", "open"))])
 
 
-def send(block: int, keys: np.ndarray, deal: np.ndarray, buckets: int, order: tuple[np.ndarray, np.ndarray] | None = None) -> pa.Table:
+def send(block: int, keys: np.ndarray, deal: np.ndarray, buckets: int, order: tuple[np.ndarray, np.ndarray] | None = None, notes: np.ndarray | None = None) -> pa.Table:
     """Rows for ``tell``: a block's distinct keys, dealt to buckets by another hash, with their counts in the block.
 
     order: two unsigned arrays; then a key also carries the least pair among its occurrences in the block.
-    A key that fills a third of the corpus thus adds one entry a block.
+    notes: an expected total for each key. A key that fills a third of the corpus thus adds one entry a block.
     """
     if order is None:
         keys, at, counts = np.unique(keys, return_index=True, return_counts=True)
@@ -117,43 +133,55 @@ def send(block: int, keys: np.ndarray, deal: np.ndarray, buckets: int, order: tu
     bucket = (deal[at] % U64(buckets)).astype(np.int32)
     by = np.argsort(bucket, kind="stable")
     edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
-    columns = [keys[by], counts[by].astype(np.uint32), *((o[at][by] for o in order) if order else ())]
     used = np.flatnonzero(edges[1:] > edges[:-1])
-    packed = [[c[edges[b] : edges[b + 1]].tobytes() for b in used] for c in columns]
-    packed += [[None] * len(used)] * (4 - len(packed))
-    return pa.Table.from_arrays([pa.array(used.astype(np.int32)), pa.array(np.full(len(used), block, np.int64)), *(pa.array(c, pa.binary()) for c in packed)], schema=SENT_SCHEMA)
+
+    def packed(column: np.ndarray | None, how=planes) -> pa.Array:
+        if column is None:
+            return pa.nulls(len(used), pa.binary())
+        column = column[by]
+        return pa.array([how(column[edges[b] : edges[b + 1]]) for b in used], pa.binary())
+
+    columns = [packed(keys, np.ndarray.tobytes), packed(counts.astype(np.uint32)), packed(None if notes is None else notes[at].astype(np.uint32)), *(packed(o[at]) for o in order or ())]
+    columns += [packed(None)] * (5 - len(columns))
+    return pa.Table.from_arrays([pa.array(used.astype(np.int32)), pa.array(np.full(len(used), block, np.int64)), *columns], schema=SENT_SCHEMA)
 
 
-def tell(sent: DataFrame, kind: int) -> DataFrame:
-    """For each block its keys that occur twice or more in the corpus: total counts and whether the
-    block holds the first occurrence in order. One task takes a bucket: one packed row from each block."""
+def tell(sent: DataFrame, kind: int, width: int = 8) -> DataFrame:
+    """For each block its keys that occur twice or more in the corpus: total counts and whether the block holds the
+    first occurrence in order. With notes also the keys whose total isn't the noted one, as open ones. One task takes a
+    bucket: one packed row from each block. width: bytes of a key."""
+    key = np.dtype(f"u{width}")
 
     def reduce(table: pa.Table) -> pa.Table:
         blocks = table["block"].to_numpy()
-        keys = [np.frombuffer(x, U64) for x in table["keys"].to_pylist()]
+        keys = [np.frombuffer(x, key) for x in table["keys"].to_pylist()]
         owner = np.repeat(np.arange(len(keys), dtype=np.int32), [len(k) for k in keys])
         keys = np.concatenate(keys)
-        counts = np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint32)
+        counts = unplanes(table["counts"].to_pylist(), np.uint32)
         if table["first"].null_count:
             by = np.argsort(keys, kind="stable")
         else:
-            first, second = (np.frombuffer(b"".join(table[c].to_pylist()), U64) for c in ("first", "second"))
+            first, second = (unplanes(table[c].to_pylist(), U64) for c in ("first", "second"))
             by = np.lexsort((second, first, keys))
         keys = keys[by]
         new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        totals = np.add.reduceat(counts[by].astype(np.int64), new)
-        reps = np.diff(np.r_[new, len(keys)])
         lead = np.zeros(len(keys), np.uint8)
         lead[new] = 1
-        totals = np.repeat(np.minimum(totals, 2**32 - 1).astype(np.uint32), reps)
-        keep = totals >= 2
-        keys, totals, lead, owner = keys[keep], totals[keep], lead[keep], owner[by][keep]
+        totals = np.repeat(np.minimum(np.add.reduceat(counts[by].astype(np.int64), new), 2**32 - 1).astype(np.uint32), np.diff(np.r_[new, len(keys)]))
+        loose = np.zeros(len(keys), np.uint8)
+        if not table["notes"].null_count:
+            loose[:] = unplanes(table["notes"].to_pylist(), np.uint32)[by] != totals
+        keep = (totals >= 2) | (loose > 0)
+        columns = [c[keep] for c in (keys, totals, lead, loose)]
+        owner = owner[by][keep]
         by = np.argsort(owner, kind="stable")
-        keys, totals, lead = keys[by], totals[by], lead[by]
         edges = np.searchsorted(owner[by], np.arange(len(blocks) + 1))
         used = np.flatnonzero(edges[1:] > edges[:-1])
-        packed = [[c[edges[b] : edges[b + 1]].tobytes() for b in used] for c in (keys, totals, lead)]
-        return pa.Table.from_arrays([pa.array(blocks[used]), pa.array(np.full(len(used), kind, np.int32)), *(pa.array(c, pa.binary()) for c in packed)], schema=TOLD_SCHEMA)
+        packed = []
+        for column, how in zip(columns, (np.ndarray.tobytes, planes, np.ndarray.tobytes, np.ndarray.tobytes)):
+            column = column[by]
+            packed.append(pa.array([how(column[edges[b] : edges[b + 1]]) for b in used], pa.binary()))
+        return pa.Table.from_arrays([pa.array(blocks[used]), pa.array(np.full(len(used), kind, np.int32)), *packed], schema=TOLD_SCHEMA)
 
     return sent.groupBy("bucket").applyInArrow(reduce, TOLD)
 
@@ -161,23 +189,26 @@ def tell(sent: DataFrame, kind: int) -> DataFrame:
 class Told:
     """What ``tell`` returned to one block, by kind."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, widths: dict[int, int] | None = None):
         self.kinds = {}
         kinds = table["kind"].to_numpy() if table.num_rows else np.zeros(0, np.int32)
-        for kind in np.unique(kinds):
+        for kind in np.unique(kinds).tolist():
             part = table.filter(pa.array(kinds == kind))
-            keys, totals, leads = (np.frombuffer(b"".join(part[c].to_pylist()), d) for c, d in (("keys", U64), ("totals", np.uint32), ("leads", np.uint8)))
+            keys = np.frombuffer(b"".join(part["keys"].to_pylist()), f"u{(widths or {}).get(kind, 8)}")
+            totals = unplanes(part["totals"].to_pylist(), np.uint32)
+            leads, loose = (np.frombuffer(b"".join(part[c].to_pylist()), np.uint8) for c in ("leads", "open"))
             by = np.argsort(keys, kind="stable")
-            self.kinds[int(kind)] = keys[by], totals[by], leads[by]
+            self.kinds[kind] = keys[by], totals[by], leads[by], loose[by]
 
-    def look(self, kind: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each key: whether it is repeated, its total (1 if not), whether this block has the first."""
+    def look(self, kind: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each key: whether it was returned, its total (1 if not), whether this block has the first, whether it
+        is open."""
         if kind not in self.kinds or not len(keys):
-            return np.zeros(len(keys), bool), np.ones(len(keys), np.uint32), np.ones(len(keys), np.uint8)
-        have, totals, leads = self.kinds[kind]
+            return np.zeros(len(keys), bool), np.ones(len(keys), np.uint32), np.ones(len(keys), np.uint8), np.zeros(len(keys), np.uint8)
+        have, totals, leads, loose = self.kinds[kind]
         at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
         hit = have[at] == keys
-        return hit, np.where(hit, totals[at], 1), np.where(hit, leads[at], 1)
+        return hit, np.where(hit, totals[at], 1), np.where(hit, leads[at], 1), np.where(hit, loose[at], 0)
 
 
 def cover(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:

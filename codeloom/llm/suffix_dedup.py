@@ -9,9 +9,9 @@ are prefix-free. Suffixes with no trigger in their first half are phrases of the
 only, equal strings are cut alike, so equal suffixes lie at equal offsets behind equal triggers.
 
 Three exchanges of packed hashes combine dictionary and parse:
-1. cores: the first half of each phrase. A phrase whose core occurs once holds no repeat.
+1. cores: the first half of each phrase, with its total count. A phrase whose core occurs once holds no repeat.
 2. the dictionary: the whole phrases of repeated cores, each with its first place in corpus order. All later places of a
-   phrase repeat wholly. A core with one phrase is then done.
+   phrase repeat wholly. A phrase as frequent as its core is the only one of it and then done.
 3. dictionary suffixes: only of phrases that share a core with another phrase, and only at their first place; sorted by
    suffix, then by corpus order, all members of an equal run but the first are repeats.
 A repetitive corpus thus sorts each dictionary suffix once, however often it occurs, and hot phrases add one entry for
@@ -26,6 +26,7 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -50,10 +51,9 @@ class _Phrases:
         self.length, half = length, length // 2
         data = np.frombuffer(b"".join(self.texts), np.uint8)
         self.size = len(data)
-        self.one, self.two = (RollingHash(data, m) for m in MULTIPLIERS)
-        doc = np.repeat(np.arange(len(n)), n)
-        place = np.arange(max(0, self.size - TRIGGER_BYTES + 1))
-        at = place[self.one.spans(place, place + TRIGGER_BYTES) < U64((1 << 64) // TRIGGER_EVERY)]
+        self.one, self.data = RollingHash(data, MULTIPLIERS[0]), data
+        doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        at = np.flatnonzero(self.one.windows(TRIGGER_BYTES) < U64((1 << 64) // TRIGGER_EVERY))
         end = self.off[1:][doc[at]] if len(at) else at
         at = at[at + TRIGGER_BYTES <= end]
         begin, end = self.off[:-1][doc[at]], self.off[1:][doc[at]]
@@ -71,7 +71,12 @@ class _Phrases:
         by = np.argsort(lo)
         self.at, self.lo, self.hi, self.core_end = at[by], lo[by], hi[by], core_end[by]
         self.doc = doc
-        self.core = self.one.spans(self.at, self.core_end)
+        # a false match of these short keys costs a comparison, not a wrong result
+        self.core = self.one.spans(self.at, self.core_end).astype(np.uint32)
+
+    @cached_property
+    def two(self) -> RollingHash:
+        return RollingHash(self.data, MULTIPLIERS[1])
 
     def pick(self, chosen: np.ndarray) -> None:
         for name in ("at", "lo", "hi", "core_end", "core"):
@@ -101,25 +106,23 @@ def _first(keys: np.ndarray) -> np.ndarray:
     return first
 
 
-class _Verdict(_Phrases):
-    def __init__(self, table: pa.Table, told: Told, length: int, rounds: int):
+class _Leaders(_Phrases):
+    """Of the phrases with repeated cores: later places of a phrase are gone; the open first ones remain."""
+
+    def __init__(self, table: pa.Table, told: Told, length: int):
         super().__init__(table, length)
-        hit, total, _ = told.look(1, self.core)
-        self.pick(hit)
-        self.cores = total[hit]
-        if rounds > 1:
-            keys = self.phrases()
-            _, total, lead = told.look(2, keys)
-            leads = _first(keys) & (lead > 0)
-            self.gone_lo, self.gone_hi = self.lo[~leads], self.hi[~leads]
-            self.pick(leads & (total != self.cores))
+        keys = self.phrases()
+        _, _, lead, loose = told.look(2, keys)
+        leads = _first(keys) & (lead > 0)
+        self.gone_lo, self.gone_hi = self.lo[~leads], self.hi[~leads]
+        self.pick(leads & (loose > 0))
 
 
 def _run(docs: DataFrame, length: int, make, types: pa.Schema) -> DataFrame:
     spark = docs.sparkSession
     _, size = corpus_bytes(docs)
     blocks = blocked(docs, size, "doc_id")
-    least = 2 * shuffle_parts(spark)
+    least = shuffle_parts(spark)
     many, few = max(least, size // 10 // BUCKET_KEYS + 1), max(least, size // 40 // BUCKET_KEYS + 1)
     empty = SENT_SCHEMA.empty_table
 
@@ -130,13 +133,15 @@ def _run(docs: DataFrame, length: int, make, types: pa.Schema) -> DataFrame:
     def phrases(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows or not told.num_rows:
             return empty()
-        p = _Verdict(table, Told(told), length, 1)
-        return send(table["block"][0].as_py(), p.phrases(), mix(p.core), few, p.order(p.lo)) if len(p.lo) else empty()
+        p = _Phrases(table, length)
+        hit, total, _, _ = Told(told, {1: 4}).look(1, p.core)
+        p.pick(hit)
+        return send(table["block"][0].as_py(), p.phrases(), p.one.spans(p.at, p.core_end), few, p.order(p.lo), total[hit]) if len(p.lo) else empty()
 
     def suffixes(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows or not told.num_rows:
             return empty()
-        p = _Verdict(table, Told(told), length, 2)
+        p = _Leaders(table, Told(told), length)
         if not len(p.lo):
             return empty()
         at = p.suffixes()
@@ -146,10 +151,10 @@ def _run(docs: DataFrame, length: int, make, types: pa.Schema) -> DataFrame:
         if not table.num_rows:
             return types.empty_table()
         known = Told(told)
-        p = _Verdict(table, known, length, 2)
+        p = _Leaders(table, known, length)
         at = p.suffixes()
         keys = p.one.spans(at, at + length) if len(at) else np.zeros(0, U64)
-        hit, _, lead = known.look(3, keys)
+        hit, _, lead, _ = known.look(3, keys)
         again = at[hit & ~(_first(keys) & (lead > 0))]
         gone = cover(p.size, np.r_[p.gone_lo, again], np.r_[p.gone_hi + length, again + length])
         return pa.Table.from_pylist([make(i, t, gone[a:b]) for i, t, a, b in zip(p.ids, p.texts, p.off[:-1], p.off[1:])], schema=types)
@@ -157,10 +162,10 @@ def _run(docs: DataFrame, length: int, make, types: pa.Schema) -> DataFrame:
     def by_block(df: DataFrame):
         return df.groupBy("block")
 
-    one = tell(by_block(blocks).applyInArrow(cores, SENT), 1)
+    one = tell(by_block(blocks).applyInArrow(cores, SENT), 1, width=4)
     two = tell(by_block(blocks).cogroup(by_block(one)).applyInArrow(phrases, SENT), 2)
-    three = tell(by_block(blocks).cogroup(by_block(one.unionByName(two))).applyInArrow(suffixes, SENT), 3)
-    told = one.unionByName(two).unionByName(three)
+    three = tell(by_block(blocks).cogroup(by_block(two)).applyInArrow(suffixes, SENT), 3)
+    told = two.unionByName(three)
     schema = ", ".join(f"{f.name} {_ddl(f.type)}" for f in types)
     return by_block(blocks).cogroup(by_block(told)).applyInArrow(remove, schema)
 
