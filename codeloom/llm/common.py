@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Tables:
+    """Intermediate tables of a loop of jobs, as Parquet in the shared folder: unlike a checkpoint they carry no
+    constraints over from step to step, and the loop can drop them once its result no longer needs them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.paths = spark, f"{scratch(spark)}/tables-{uuid.uuid4().hex}", []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.paths.append(f"{self.folder}/{len(self.paths):04d}")
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def drop_all_but(self, last: int) -> None:
+        jvm = self.spark._jvm
+        for name in self.paths[: len(self.paths) - last]:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

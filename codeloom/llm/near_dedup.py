@@ -20,6 +20,7 @@ returns its own columns only.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -28,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import MULTIPLIERS, RollingHash, cut, mix, split_words, utf8
+from codeloom.llm.common import MULTIPLIERS, RollingHash, Tables, mix, split_words, utf8
 
 SKETCH = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n_shingles", pa.int64()), ("signature", pa.binary()), ("bands", pa.list_(pa.int64()))])
 SKETCH_DDL = "doc_id long, key binary, n_shingles long, signature binary, bands array<long>"
-STEP_BYTES, SEED, BATCH, FEW_PAIRS = 1 << 20, 29, 30, 20_000
+STEP_BYTES, SEED, BATCH = 1 << 20, 29, 30
+#: Orders of leaders, rounds with leaders from all components, and pairs of a bucket in a later round.
+LEADERS, RANDOM_ROUNDS, FEW_PAIRS = 4, 2, 20_000
 
 
 def shingles(text: bytes, size: int) -> set:
@@ -106,18 +109,22 @@ def sketches(docs: DataFrame, size: int, rows: int, bands: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SKETCH_DDL)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(key, label) of all keys in links (a, b): the label is the least key of the component."""
+def components(links: DataFrame, cut, steps: int | None = None) -> DataFrame:
+    """(key, label) of all keys in links (a, b): the label is the least key of the component. After a given number of
+    steps, labels may be those of parts of a component. cut: keeps an intermediate table."""
     edges = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
     labels = cut(edges.groupBy(F.col("a").alias("key")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
-    while True:
+    while steps is None or steps > 0:  # labels spread to neighbours, then to the label's label
         near = edges.join(labels, F.col("b") == F.col("key")).groupBy("a").agg(F.min("label").alias("near"))
         step = cut(labels.join(near, F.col("key") == F.col("a")).select("key", F.col("label").alias("old"), F.least("label", "near").alias("label")))
         up = step.select(F.col("key").alias("up"), F.col("label").alias("top"))
         labels = cut(step.join(up, F.col("label") == F.col("up")).select("key", "old", F.least("label", "top").alias("label")))
-        if not labels.filter("label != old").limit(1).count():
-            return labels.select("key", "label")
+        if steps is not None:
+            steps -= 1
+        elif not labels.filter("label != old").limit(1).count():
+            break
         labels = labels.select("key", "label")
+    return labels.select("key", "label")
 
 
 def _surviving(percent: int, hashes: int, miss: float):
@@ -157,58 +164,69 @@ def _linked(size: int, percent: int):
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int = 5, bands: int = 36, miss: float = 1e-9) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links of at least ``percent`` percent), kept."""
     pair = "a binary, b binary"
+    tables = Tables(docs.sparkSession)
+    cut = tables.keep
     seen = cut(sketches(docs, size, rows, bands))
     classes = seen.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
     met = classes.select("key", F.explode("bands").alias("band"))
-    shared = cut(met.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("leader")).filter("n > 1").select("band", "leader"))
+    # few orders of leaders, so that members of large groups meet some and not thirty of them
+    turn = F.xxhash64("key", F.col("band") % LEADERS)
+    shared = cut(met.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(turn.alias("turn"), "key")).alias("leader")).filter("n > 1").select("band", F.col("leader.key").alias("leader")))
     member = cut(met.join(shared, "band"))  # band, key, leader
-    pairs = member.filter("key != leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
     used = member.select("key").distinct()
-    facts = cut(classes.join(used, "key", "left_semi").select("key", "doc_id", "signature"))
-    wanted = facts.select(F.col("doc_id").alias("want"), "key")
-    # a doc_id may have several rows, so the text must have the key, too
+    wanted = classes.join(used, "key", "left_semi").select(F.col("doc_id").alias("want"), "key", "signature")
     own = docs.select(F.col("doc_id").cast("long").alias("want"), F.col("text").cast("string").alias("text"))
-    texts = cut(own.join(wanted, "want").join(seen.select(F.col("doc_id").alias("want"), "key").groupBy("want").agg(F.countDistinct("key").alias("n")), "want").select("key", "text", "n"))
-    texts = _checked(texts)
+    facts = cut(_checked(own.join(wanted, "want").select("key", "signature", "text")))
 
     def verified(pairs: DataFrame) -> DataFrame:
         sig = facts.select("key", "signature")
         both = pairs.join(sig.select(F.col("key").alias("a"), F.col("signature").alias("sig_a")), "a").join(sig.select(F.col("key").alias("b"), F.col("signature").alias("sig_b")), "b")
-        left = cut(both.mapInArrow(_surviving(percent, rows * bands, miss), pair))
-        both = left.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
+        left = both.mapInArrow(_surviving(percent, rows * bands, miss), pair)
+        both = left.join(facts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b").join(facts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
         return cut(both.mapInArrow(_linked(size, percent), pair))
 
-    done = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    done = cut(member.filter("key != leader").select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct())
     links = verified(done)
     member = member.filter("key != leader").select("band", "key")
-    while True:
-        labels = components(links)
-        member = cut(member.join(labels, "key", "left").select("band", "key", F.coalesce("label", "key").alias("label")))
-        mixed = cut(member.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "label")).alias("main")).filter("parts > 1").select("band", "size", F.col("main.label").alias("main")))
-        if not mixed.limit(1).count():
+    for turn in itertools.count(1):
+        # labels may be those of parts of a component: two members with one label are connected, others may be, too
+        near = components(links, cut, 2)
+        member = cut(member.join(near, "key", "left").select("band", "key", F.coalesce("label", "key").alias("label")))
+        if turn <= RANDOM_ROUNDS:
+            first = F.min(F.struct(F.xxhash64("key", F.col("band") % LEADERS, F.lit(turn)).alias("turn"), "key", "label")).alias("lead")
+            lead = member.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), first).filter("low != high")
+            lead = cut(lead.select("band", F.col("lead.key").alias("lead"), F.col("lead.label").alias("lead_label")))
+        else:
+            parts = member.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
+            mixed = cut(parts.groupBy("band").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "label")).alias("main")).filter("parts > 1").select("band", "size", F.col("main.label").alias("main")))
+            place = F.row_number().over(Window.partitionBy("band").orderBy("key"))
+            lead = member.join(mixed, "band").filter("label != main").withColumn("place", place).filter(F.col("place") <= F.greatest(F.lit(1), F.lit(FEW_PAIRS) / F.col("size")))
+            lead = cut(lead.select("band", F.col("key").alias("lead"), F.col("label").alias("lead_label")))
+        if not lead.limit(1).count():
             break
-        member = cut(member.join(mixed, "band"))
-        turn = F.row_number().over(Window.partitionBy("band").orderBy("key"))
-        lead = cut(member.filter("label != main").withColumn("turn", turn).filter(F.col("turn") <= F.greatest(F.lit(1), F.lit(FEW_PAIRS) / F.col("size"))).select("band", F.col("key").alias("lead"), F.col("label").alias("lead_label")))
+        member = cut(member.join(lead.select("band").distinct(), "band", "left_semi"))  # the others are done
         new = member.join(lead, "band").filter("label != lead_label").select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct()
         new = cut(new.join(done, ["a", "b"], "left_anti"))
-        links = cut(links.union(verified(new)))
-        done = cut(done.union(new))
-        member = cut(member.join(lead.select("band", F.col("lead").alias("key")), ["band", "key"], "left_anti").select("band", "key"))
+        member = member.join(lead.select("band", F.col("lead").alias("key")), ["band", "key"], "left_anti").select("band", "key")
+        if new.limit(1).count():
+            links = links.union(verified(new))
+            done = done.union(new)
+    labels = components(links, cut)
     own = cut(seen.select("doc_id", "n_shingles", "key").join(labels, "key", "left").select("doc_id", "n_shingles", F.coalesce("label", "key").alias("label")))
     linked = "n_shingles > 0 AND doc_id IS NOT NULL"
     least = cut(own.filter(linked).groupBy("label").agg(F.min("doc_id").alias("component_id")))
+    tables.drop_all_but(2)
     alone = own.filter(f"NOT ({linked})").withColumn("component_id", F.col("doc_id"))
     whole = own.filter(linked).join(least, "label").select("doc_id", "n_shingles", "component_id").union(alone.select("doc_id", "n_shingles", "component_id"))
     return whole.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _checked(texts: DataFrame) -> DataFrame:
-    """One text for each key; where a doc_id has several texts, the one whose key it is."""
+def _checked(facts: DataFrame) -> DataFrame:
+    """One row for each key; where a doc_id has several texts, the one whose key it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [k for k, (key, text, n) in enumerate(zip(*(batch[c].to_pylist() for c in ("key", "text", "n")))) if n == 1 or hashlib.blake2b(b" ".join(split_words(text)).lower(), digest_size=16).digest() == key]
-            yield batch.select(["key", "text"]).take(pa.array(keep, pa.int64()))
+            keep = [k for k, (key, text) in enumerate(zip(batch["key"].to_pylist(), batch["text"].to_pylist())) if hashlib.blake2b(b" ".join(split_words(text)).lower(), digest_size=16).digest() == key]
+            yield batch.take(pa.array(keep, pa.int64()))
 
-    return cut(texts.mapInArrow(run, "key binary, text string").groupBy("key").agg(F.first("text").alias("text")))
+    return facts.mapInArrow(run, "key binary, signature binary, text string").groupBy("key").agg(F.first("signature").alias("signature"), F.first("text").alias("text"))
