@@ -2,10 +2,12 @@
 
 1. Texts with equal word sequences form a class; classes are compared, never copies.
 2. A class has a MinHash signature, cut into bands; classes that agree in a band meet in a bucket.
-3. A round compares, in each bucket, one leader with the members that aren't yet in its component. Signature batches are
+3. Shingles that no other class in a bucket has are counted: a class with too many of them can link to none and leaves
+   its buckets, and a pair that cannot share enough for them is not compared. This is exact.
+4. A round compares, in each bucket, one leader with the members that aren't yet in its component. Signature batches are
    compared in turn, and a pair is pruned once the posterior probability of a similarity at the threshold (uniform
    prior, binomial likelihood) falls below ``miss``. Survivors are verified on their full shingle sets.
-4. Links merge components. Compared leaders leave their buckets; a bucket with members of different components gets new
+5. Links merge components. Compared leaders leave their buckets; a bucket with members of different components gets new
    leaders, from all components but its largest. Rounds end when no bucket is mixed.
 So every pair that shares a bucket is either connected by verified links or was compared itself, yet a group of n near
 copies costs about n comparisons. With the given bands a pair at the threshold shares no bucket with a probability
@@ -29,10 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import MULTIPLIERS, RollingHash, Tables, mix, split_words, utf8
+from codeloom.llm.common import BLOCK_BYTES, BUCKET_KEYS, MULTIPLIERS, SENT, RollingHash, Tables, Told, corpus_bytes, mix, send, shuffle_parts, split_words, tell, utf8
 
 SKETCH = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n_shingles", pa.int64()), ("signature", pa.binary()), ("bands", pa.list_(pa.int64()))])
 SKETCH_DDL = "doc_id long, key binary, n_shingles long, signature binary, bands array<long>"
+KNOWN = pa.schema([("key", pa.binary()), ("signature", pa.binary()), ("text", pa.string()), ("n", pa.int64()), ("own", pa.int64())])
 STEP_BYTES, SEED, BATCH = 1 << 20, 29, 30
 #: Orders of leaders, rounds with leaders from all components, and pairs of a bucket in a later round.
 LEADERS, RANDOM_ROUNDS, FEW_PAIRS = 4, 2, 20_000
@@ -169,14 +172,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     seen = cut(sketches(docs, size, rows, bands))
     classes = seen.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
     met = classes.select("key", F.explode("bands").alias("band"))
-    # few orders of leaders, so that members of large groups meet some and not thirty of them
-    turn = F.xxhash64("key", F.col("band") % LEADERS)
-    shared = cut(met.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(turn.alias("turn"), "key")).alias("leader")).filter("n > 1").select("band", F.col("leader.key").alias("leader")))
-    member = cut(met.join(shared, "band"))  # band, key, leader
+    shared = cut(met.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band"))
+    member = cut(met.join(shared, "band"))  # band, key
     used = member.select("key").distinct()
     wanted = classes.join(used, "key", "left_semi").select(F.col("doc_id").alias("want"), "key", "signature")
     own = docs.select(F.col("doc_id").cast("long").alias("want"), F.col("text").cast("string").alias("text"))
     facts = cut(_checked(own.join(wanted, "want").select("key", "signature", "text")))
+    facts = cut(_with_own(facts, size))
+    able = facts.filter(F.lit(100 - percent) * F.col("n") >= 100 * F.col("own")).select("key", "n", "own")
+    member = cut(member.join(able, "key").select("band", "key", "n", "own", F.col("key").alias("label")))
 
     def verified(pairs: DataFrame) -> DataFrame:
         sig = facts.select("key", "signature")
@@ -185,33 +189,36 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
         both = left.join(facts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b").join(facts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
         return cut(both.mapInArrow(_linked(size, percent), pair))
 
-    done = cut(member.filter("key != leader").select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct())
-    links = verified(done)
-    member = member.filter("key != leader").select("band", "key")
-    for turn in itertools.count(1):
-        # labels may be those of parts of a component: two members with one label are connected, others may be, too
-        near = components(links, cut, 2)
-        member = cut(member.join(near, "key", "left").select("band", "key", F.coalesce("label", "key").alias("label")))
-        if turn <= RANDOM_ROUNDS:
-            first = F.min(F.struct(F.xxhash64("key", F.col("band") % LEADERS, F.lit(turn)).alias("turn"), "key", "label")).alias("lead")
-            lead = member.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), first).filter("low != high")
-            lead = cut(lead.select("band", F.col("lead.key").alias("lead"), F.col("lead.label").alias("lead_label")))
+    links = done = None
+    for turn in itertools.count():
+        if links is not None:
+            # labels may be those of parts of a component: two members with one label are connected, others may be, too
+            near = components(links, cut, 2)
+            member = cut(member.join(near.select("key", F.col("label").alias("near")), "key", "left").select("band", "key", "n", "own", F.coalesce("near", "label").alias("label")))
+        lead = ("band", F.col("key").alias("lead"), F.col("label").alias("lead_label"), F.col("n").alias("lead_n"), F.col("own").alias("lead_own"))
+        if turn < RANDOM_ROUNDS:
+            # few orders of leaders, so that members of large groups meet some and not a band's each
+            first = F.min(F.struct(F.xxhash64("key", F.col("band") % LEADERS, F.lit(turn)).alias("turn"), "key", "label", "n", "own")).alias("first")
+            found = member.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), first).filter("low != high")
+            lead = cut(found.select("band", "first.*").select(*lead))
         else:
             parts = member.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
             mixed = cut(parts.groupBy("band").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "label")).alias("main")).filter("parts > 1").select("band", "size", F.col("main.label").alias("main")))
             place = F.row_number().over(Window.partitionBy("band").orderBy("key"))
-            lead = member.join(mixed, "band").filter("label != main").withColumn("place", place).filter(F.col("place") <= F.greatest(F.lit(1), F.lit(FEW_PAIRS) / F.col("size")))
-            lead = cut(lead.select("band", F.col("key").alias("lead"), F.col("label").alias("lead_label")))
+            found = member.join(mixed, "band").filter("label != main").withColumn("place", place).filter(F.col("place") <= F.greatest(F.lit(1), F.lit(FEW_PAIRS) / F.col("size")))
+            lead = cut(found.select(*lead))
         if not lead.limit(1).count():
             break
         member = cut(member.join(lead.select("band").distinct(), "band", "left_semi"))  # the others are done
-        new = member.join(lead, "band").filter("label != lead_label").select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct()
-        new = cut(new.join(done, ["a", "b"], "left_anti"))
-        member = member.join(lead.select("band", F.col("lead").alias("key")), ["band", "key"], "left_anti").select("band", "key")
+        most = F.least(F.col("n") - F.col("own"), F.col("lead_n") - F.col("lead_own"))  # that the two can share
+        able = 100 * most >= percent * (F.col("n") + F.col("lead_n") - most)
+        new = member.join(lead, "band").filter((F.col("label") != F.col("lead_label")) & able).select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct()
+        new = cut(new.join(done, ["a", "b"], "left_anti") if done is not None else new)
+        member = member.join(lead.select("band", F.col("lead").alias("key")), ["band", "key"], "left_anti").select("band", "key", "n", "own", "label")
         if new.limit(1).count():
-            links = links.union(verified(new))
-            done = done.union(new)
-    labels = components(links, cut)
+            links = links.union(verified(new)) if links is not None else verified(new)
+            done = done.union(new) if done is not None else new
+    labels = components(links if links is not None else seen.limit(0).select(F.col("key").alias("a"), F.col("key").alias("b")), cut)
     own = cut(seen.select("doc_id", "n_shingles", "key").join(labels, "key", "left").select("doc_id", "n_shingles", F.coalesce("label", "key").alias("label")))
     linked = "n_shingles > 0 AND doc_id IS NOT NULL"
     least = cut(own.filter(linked).groupBy("label").agg(F.min("doc_id").alias("component_id")))
@@ -221,6 +228,46 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     return whole.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _with_own(facts: DataFrame, size: int) -> DataFrame:
+    """Adds n, the shingles of a class, and own, those that no other class of facts has. What a text has for itself it
+    shares with none, so more than the share that a link may miss rules out all links."""
+    spark = facts.sparkSession
+    _, total = corpus_bytes(facts)
+    parts = shuffle_parts(spark)
+    buckets = max(parts, total // 6 // BUCKET_KEYS + 1)
+    blocks = facts.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(max(parts, total // BLOCK_BYTES + 1))))
+
+    def hashed(table: pa.Table, multiplier: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        words = [split_words(t) for t in table["text"].to_pylist()]
+        n = np.array([len(w) for w in words], np.int64)
+        data = np.frombuffer(b" ".join(w for x in words for w in x).lower(), np.uint8)
+        ends = np.r_[np.flatnonzero(data == 32), len(data)]
+        starts = np.r_[0, ends[:-1] + 1]
+        spans = np.maximum(n - size + 1, 1)
+        edge = np.r_[0, np.cumsum(spans)]
+        at = np.arange(edge[-1]) + np.repeat(np.r_[0, np.cumsum(n)[:-1]] - edge[:-1], spans)
+        last = at + np.repeat(np.minimum(n, size) - 1, spans)
+        owner = np.repeat(np.arange(len(n)), spans)
+        h = RollingHash(data, multiplier).spans(starts[at], ends[last])
+        first = np.unique(h ^ mix(owner.astype(np.uint64) + np.uint64(1)), return_index=True)[1]
+        return h[first], owner[first], first
+
+    def emit(table: pa.Table) -> pa.Table:
+        h, _, first = hashed(table, MULTIPLIERS[0])
+        return send(table["block"][0].as_py(), h, mix(h ^ np.uint64(MULTIPLIERS[1])), buckets)
+
+    def count(table: pa.Table, told: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return KNOWN.empty_table()
+        h, owner, _ = hashed(table, MULTIPLIERS[0])
+        hit = Told(told).look(0, h)[0]
+        n, own = np.bincount(owner, minlength=table.num_rows), np.bincount(owner[~hit], minlength=table.num_rows)
+        return pa.Table.from_arrays([*(table[c].combine_chunks() for c in ("key", "signature", "text")), pa.array(n), pa.array(own)], schema=KNOWN)
+
+    told = tell(blocks.groupBy("block").applyInArrow(emit, SENT), 0)
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(count, "key binary, signature binary, text string, n long, own long")
+
+
 def _checked(facts: DataFrame) -> DataFrame:
     """One row for each key; where a doc_id has several texts, the one whose key it is."""
 
