@@ -1,0 +1,14 @@
+"""They must equal those of the engine whose results this one matches."""
+
+STOP_WORDS = (
+    "the and for with this that from into when how what add adding implement implementation support using use create make do does should need needs want wants "
+    "a an are is be by of to in on at it its our your we you them their back again also just about have has had will would can could new some all any not please "
+    "code if then else where there here up down over out under through than as which while each more most other such only own same so too very"
+).split()
+FRAMEWORK_DIRECTORIES = (
+    "auth api models services service repositories repository routes pages components controllers middleware handlers views templates migrations schema database db store "
+    "plugins providers config types schemas dto domain core infra infrastructure internal webhooks events jobs workers lib utils util helpers test tests"
+).split()
+LANGUAGE_OF = {"ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "py": "python", "rs": "rust", "go": "go"}
+NAME_POINTS = {3: 6.0, 2: 3.0, 1: 2.0}
+ROOT_SCORE, HUB_DEPENDENTS, FOLLOW_BASE, FOLLOW_SHARE = 3.0, 40, 2.0, 0.1
