@@ -81,3 +81,53 @@ def unknown(g: Graph, start: int, depth: int = 3) -> DataFrame:
     """Unresolved dependencies of the start and of all it reaches, by file."""
     files = reachable(g, start, depth).select("id").union(g.files.filter(F.col("id") == start).select("id"))
     return g.dependencies.filter("target_file_id IS NULL").join(files, F.col("source_file_id") == F.col("id")).groupBy("source_file_id").agg(F.count(F.lit(1)).alias("unresolved"))
+
+
+def resolve_file(g: Graph, name: str) -> DataFrame:
+    """(path, id) of one file: the exact path, else the first of 20 that contain the name."""
+    exact = g.files.filter(F.col("path") == name).select("path", "id", F.lit(0).alias("way"))
+    near = g.files.filter(like_any(F.col("path"), name)).orderBy("path").limit(20).filter(F.col("path").contains(name)).select("path", "id", F.lit(1).alias("way"))
+    return exact.union(near).orderBy("way", "path").limit(1).select("path", "id")
+
+
+def _located(g: Graph, found: DataFrame) -> DataFrame:
+    return found.join(g.files.select(F.col("id").alias("file_id"), "path"), "file_id")
+
+
+def _member(g: Graph, name: str, last: bool) -> DataFrame:
+    parent, _, own = name.rpartition(".") if last else name.partition(".")
+    return g.symbols.filter((F.col("parent") == parent) & (F.col("name") == own))
+
+
+def resolve_symbol(g: Graph, name: str, limit: int = 200) -> DataFrame:
+    """Symbols of a name, or Parent.member split at the first dot if that finds any; those of tests last."""
+    bare = g.symbols.filter(F.col("name") == name).withColumn("way", F.lit(1))
+    if "." in name:
+        bare = bare.unionByName(_member(g, name, False).withColumn("way", F.lit(0)))
+        bare = bare.join(bare.agg(F.min("way").alias("way")), "way")
+    top = bare.orderBy("start_line", "id").limit(limit).drop("way")
+    return _located(g, top).orderBy(is_test(F.col("path")), "start_line", "id").select("id", "name", "kind", "parent", "start_line", "path")
+
+
+def resolve_target(g: Graph, target: str) -> DataFrame:
+    """(path, id, symbol) that a target means: an exact path, then a path that contains it among the first ten like it,
+    then a symbol of that name, then Parent.member; symbols outside tests first."""
+    none = F.lit(None).cast("string").alias("symbol")
+    ways = [g.files.filter(F.col("path") == target).select(F.lit(0).alias("way"), F.lit(False).alias("test"), F.lit(0).alias("place"), "path", "id", none)]
+    near = g.files.filter(like_any(F.col("path"), target)).orderBy("path").limit(10).filter(F.col("path").contains(target))
+    ways.append(near.select(F.lit(1), F.lit(False), F.lit(0), "path", "id", none))
+    names = [g.symbols.filter(F.col("name") == target)] + ([_member(g, target, False)] if "." in target else [])
+    for k, found in enumerate(names):
+        top = _located(g, found.orderBy("start_line", "id").limit(10))
+        ways.append(top.select(F.lit(2 + k), is_test(F.col("path")), F.col("start_line").cast("int"), "path", F.col("file_id"), F.col("name")))
+    out = ways[0]
+    for way in ways[1:]:
+        out = out.union(way)
+    return out.orderBy("way", "test", "place", "path").limit(1).select("path", "id", "symbol")
+
+
+def diff_impact(g: Graph, changed: DataFrame, limit: int = 20) -> DataFrame:
+    """Paths that depend on a changed path directly, each once, the first by name."""
+    ids = g.files.join(changed.select("path").distinct(), "path", "left_semi").select(F.col("id").alias("target_file_id"))
+    hit = g.edges().join(ids, "target_file_id", "left_semi").select(F.col("source_file_id").alias("id")).distinct()
+    return hit.join(g.files.select("id", "path"), "id").select("path").orderBy("path").limit(limit)
