@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
 from codeloom.functions.fixed import FRAMEWORK_DIRECTORIES, STOP_WORDS
-from codeloom.operators import index, lookup
-from codeloom.plans import context
+from codeloom.operators import index, lookup, resolution
+from codeloom.parsers import parse_sources
+from codeloom.plans import context, package
 from codeloom.sources import bindings
 
 KEYWORDS = ["user", "order", "furniture", "models", "report"]
@@ -158,6 +159,45 @@ _add("diff_status_counts", lambda s, d: _diff(s, d).groupBy("status").agg(F.coun
 _add("link_classify", lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("spec")).select("page_id", "spec", F.when(F.col("spec").startswith("./") | F.col("spec").startswith("../"), "relative").when(F.col("spec").startswith("/"), "root").otherwise("external").alias("kind")), "SELECT page_id, spec, CASE WHEN starts_with(spec, './') OR starts_with(spec, '../') THEN 'relative' WHEN starts_with(spec, '/') THEN 'root' ELSE 'external' END AS kind FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS spec FROM pages)")
 
 
+_PRE = f"""{STAR}, own AS (SELECT id, path, language, regexp_replace(path, '[.][a-z]+$', '') AS stem FROM files),
+pairs AS (SELECT DISTINCT source, target FROM deps WHERE target IS NOT NULL),
+imported AS (SELECT id, count(*) AS n, string_agg(line, '' ORDER BY line) AS imports FROM (SELECT DISTINCT s.id, {bindings.import_line()} AS line FROM pairs JOIN (SELECT id, path, language FROM own) s ON s.id = source JOIN (SELECT id AS tid, stem FROM own) t ON tid = target) GROUP BY id),
+bodies AS (SELECT id, string_agg(body, '' ORDER BY name) AS bodies FROM (SELECT o.id, s.name, {bindings.function_text(True)} AS body FROM (SELECT file_id, name FROM symbols) s JOIN own o ON o.id = s.file_id) GROUP BY id)"""
+
+
+def _parsed(s: SparkSession, d: str) -> DataFrame:
+    return parse_sources(bindings.sources(s, d)[1])
+
+
+def _resolved(s: SparkSession, d: str) -> DataFrame:
+    g, sources = bindings.sources(s, d)
+    edges = parse_sources(sources).select("path", F.posexplode("imports").alias("n", "i")).select("path", "n", "i.*")
+    return resolution.resolve(edges, g.files).select("path", "target_path", "resolution", F.col("imported_symbol").isNotNull().alias("named"), "type")
+
+
+_add("parse_symbols", lambda s, d: _parsed(s, d).select("path", F.explode("symbols").alias("s")).select("path", "s.name", "s.kind", "s.exported", "s.start_line"),
+     f"WITH {_PRE} SELECT path, name, 'function' AS kind, language <> 'javascript' AS exported, coalesce(n, 0) + CASE language WHEN 'go' THEN 1 ELSE 0 END + 3 * row_number() OVER (PARTITION BY own.id ORDER BY name) - 2 AS start_line FROM own JOIN (SELECT file_id, name FROM symbols) s ON own.id = s.file_id LEFT JOIN imported l ON l.id = own.id")
+_add("parse_skeletons", lambda s, d: _parsed(s, d).select("path", "skeleton", "has_errors"),
+     f"WITH {_PRE} SELECT path, CASE language WHEN 'go' THEN 'package p' || chr(10) ELSE '' END || coalesce(imports, '') || coalesce(bodies, '') AS skeleton, false AS has_errors FROM own LEFT JOIN imported l ON l.id = own.id LEFT JOIN bodies b ON b.id = own.id")
+_add("import_resolution", _resolved,
+     f"WITH {_PRE} SELECT s.path, CASE WHEN s.language <> 'rust' OR t.language = 'rust' THEN t.path END AS target_path, CASE WHEN s.language <> 'rust' OR t.language = 'rust' THEN 'internal' ELSE 'unresolved' END AS resolution, s.language IN ('typescript', 'rust') AS named, CASE WHEN s.language = 'rust' THEN 'use' ELSE 'import' END AS type FROM pairs JOIN own s ON s.id = source JOIN own t ON t.id = target")
+
+
+def _target_sql(t: str) -> str:
+    return f"SELECT path, id, symbol FROM (SELECT 1 AS way, false AS test, 0 AS place, path, id, NULL AS symbol FROM (SELECT * FROM files WHERE path ILIKE '%{t}%' ORDER BY path LIMIT 10) WHERE contains(path, '{t}') UNION ALL SELECT 2, {_TEST}, start_line, path, file_id, name FROM (SELECT * FROM symbols WHERE name = '{t}' ORDER BY start_line, id LIMIT 10) JOIN (SELECT id AS fid, path FROM files) ON fid = file_id) ORDER BY way, test, place, path LIMIT 1"
+
+
+_star("resolve_target_path", lambda g: lookup.resolve_target(g, "models/"), _target_sql("models/"))
+_star("resolve_target_symbol", lambda g: lookup.resolve_target(g, "AutomobileUser0"), _target_sql("AutomobileUser0"))
+_star("resolve_file", lambda g: lookup.resolve_file(g, "core/"), "SELECT path, id FROM (SELECT * FROM files WHERE path ILIKE '%core/%' ORDER BY path LIMIT 20) WHERE contains(path, 'core/') ORDER BY path LIMIT 1")
+_star("resolve_symbol", lambda g: lookup.resolve_symbol(g, "BuildingUser4"), "SELECT s.id, name, kind, parent, start_line, path FROM (SELECT * FROM symbols WHERE name = 'BuildingUser4' ORDER BY start_line, id LIMIT 200) s JOIN files f ON f.id = file_id")
+_star("diff_impact", lambda g: lookup.diff_impact(g, g.files.filter(F.col("id") == HUB)), f"SELECT DISTINCT path FROM deps JOIN files ON id = source WHERE target = {HUB} ORDER BY path LIMIT 20")
+_HOPS = " UNION ALL ".join(f"SELECT file_id, score, 1 AS follow FROM ({_ORACLE[n].split(_ALL, 1)[1]})" for n in ("dep_follow", "dependent_follow"))
+_RANKED = f"ranked AS (SELECT file_id, path, score, follow = 1 AS follow_only FROM (SELECT file_id, max(score) AS score, min(follow) AS follow FROM (SELECT file_id, round(score, 6) AS score, 0 AS follow FROM rated UNION ALL {_HOPS}) GROUP BY file_id) JOIN (SELECT id, path FROM files) ON id = file_id)"
+_ranked("context_files", lambda g, w: _r(package.ranked(g, w), "score"), f", {_RANKED} SELECT * FROM ranked")
+_ranked("context_capped", lambda g, w: package.capped(_r(package.ranked(g, w), "score")), f", {_RANKED} SELECT * FROM ranked WHERE NOT follow_only UNION ALL SELECT * FROM (SELECT * FROM ranked WHERE follow_only ORDER BY score DESC, path LIMIT 6)")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -59,3 +59,42 @@ def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     changed = F.when(F.col("id") % 13 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text"))
     head = d.filter("id % 7 <> 0").withColumn("text", changed)
     return d.filter("id % 10 <> 0"), head.withColumn("size", F.octet_length("text").cast("long")).withColumn("hash", F.sha2("text", 256))
+
+
+#: One import line and one function of each language, as SQL over stem and name; then what is left of the function in a skeleton.
+_IMPORT_LINE = {"python": "'import ' || replace(stem, '/', '.')", "typescript": "'import { x } from \"/' || stem || '\";'", "javascript": "'import \"/' || stem || '\";'", "rust": "'use crate::' || replace(stem, '/', '::') || ';'", "go": "'import \"./' || stem || '\"'"}
+_FUNCTION = {
+    "python": ("'def ' || name || '(a, b):'", "'    return a'", "''", "'    ...'"),
+    "typescript": ("'export function ' || name || '(a, b) {'", "'  return a;'", "'}'", None),
+    "javascript": ("'function ' || name || '(a, b) {'", "'  return a;'", "'}'", None),
+    "rust": ("'pub fn ' || name || '(a: u32) -> u32 {'", "'    a'", "'}'", None),
+    "go": ("'func ' || name || '(a int) int {'", "'    return a'", "'}'", None),
+}
+_NL = "chr(10)"
+
+
+def import_line() -> str:
+    return "CASE language " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _IMPORT_LINE.items()) + f" END || {_NL}"
+
+
+def function_text(hidden: bool = False) -> str:
+    """SQL that both Spark and DuckDB read: three lines for each function, or its skeleton."""
+    cases = []
+    for k, (head, body, end, short) in _FUNCTION.items():
+        inside = f"{_NL} || {body} || {_NL}" if not hidden else f"{_NL} || {short} || {_NL}" if short else "' /* ... implementation hidden ... */ '"
+        cases.append(f"WHEN '{k}' THEN {head} || {inside} || {end}")
+    return "CASE language " + " ".join(cases) + f" END || {_NL}"
+
+
+def sources(spark: SparkSession, sf_dir: str) -> tuple[Graph, DataFrame]:
+    """The star relations written out as source texts: path, language, content. Every file imports the files that it
+    depends on and defines its symbols as functions."""
+    g = star(spark, sf_dir)
+    own = g.files.select("id", "path", "language")
+    target = g.files.select(F.col("id").alias("target_file_id"), F.regexp_replace("path", r"\.[a-z]+$", "").alias("stem"))
+    pairs = g.edges().select(F.col("source_file_id").alias("id"), "target_file_id").distinct()
+    lines = pairs.join(target, "target_file_id").join(own, "id").withColumn("line", F.expr(import_line())).groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("line")), "").alias("imports"))
+    named = g.symbols.select(F.col("file_id").alias("id"), "name").join(own, "id").withColumn("body", F.expr(function_text()))
+    bodies = named.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "body"))), lambda x: x["body"]), "").alias("bodies"))
+    text = F.concat(F.when(F.col("language") == "go", "package p\n").otherwise(""), F.coalesce("imports", F.lit("")), F.coalesce("bodies", F.lit("")))
+    return g, own.join(lines, "id", "left").join(bodies, "id", "left").select("path", "language", F.encode(text, "UTF-8").alias("content"))
