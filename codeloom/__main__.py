@@ -1,0 +1,78 @@
+"""Command line. Exit code 2 for wrong usage, 1 for other failures."""
+
+from __future__ import annotations
+
+import argparse
+import json
+import sys
+
+from pyspark.sql import SparkSession
+
+from codeloom.api import VERSION, Project
+from codeloom.serve import serve
+from codeloom.streaming import watch
+
+
+def _parser() -> argparse.ArgumentParser:
+    top = argparse.ArgumentParser(prog="codeloom")
+    top.add_argument("-R", "--root", default=".")
+    top.add_argument("-q", "--quiet", action="store_true")
+    sub = top.add_subparsers(dest="command", required=True)
+    add = lambda name, *args: [sub.add_parser(name)] and [sub.choices[name].add_argument(*a, **k) for a, k in args]
+    flag = lambda *names: (names, {"action": "store_true"})
+    text = lambda name, **k: ((name,), k)
+    add("init", flag("--force"))
+    add("search", text("term"), text("--kind"), text("--limit", type=int, default=50), flag("--files"))
+    add("symbol", text("name"))
+    add("deps", text("file"), flag("--external"))
+    add("impact", text("target"), text("--depth", type=int, default=3))
+    add("context", text("task"), text("--max-tokens", type=int), flag("--bodies"))
+    add("skeleton", text("path"))
+    add("changed", text("ref", nargs="?"))
+    add("diff", text("base"), text("head", nargs="?"))
+    for name in ("schema", "benchmark", "doctor", "stats", "version", "mcp"):
+        add(name)
+    add("watch", text("events"))
+    return top
+
+
+def main(argv: list[str] | None = None) -> int:
+    args = _parser().parse_args(argv)
+    if args.command == "version":
+        print(json.dumps({"version": VERSION}))
+        return 0
+    spark = SparkSession.getActiveSession() or SparkSession.builder.appName("codeloom").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    p = Project(spark, args.root)
+    try:
+        if args.command == "mcp":
+            serve(p, sys.stdin, lambda line: (sys.stdout.write(line), sys.stdout.flush()))
+            return 0
+        if args.command == "watch":  # a folder in which JSON lines with paths arrive
+            events = spark.readStream.schema("path string").json(args.events)
+            watch.watch(events, watch.index_changes(spark, p.root, p.store)).awaitTermination()
+            return 0
+        out = {
+            "init": lambda: p.init(args.force),
+            "search": lambda: p.search(args.term, args.kind, args.limit, args.files),
+            "symbol": lambda: p.symbol(args.name),
+            "deps": lambda: p.deps(args.file, args.external),
+            "impact": lambda: p.impact(args.target, args.depth),
+            "context": lambda: p.context(args.task, args.max_tokens, args.bodies),
+            "skeleton": lambda: p.skeleton(args.path),
+            "changed": lambda: p.changed(args.ref),
+            "diff": lambda: p.diff(args.base, args.head),
+            "schema": lambda: {"schema": p.schema()},
+            "benchmark": p.benchmark,
+            "doctor": p.doctor,
+            "stats": p.stats,
+        }[args.command]()
+    except ValueError as error:
+        print(f"error: {error}", file=sys.stderr)
+        return 2 if "unknown kind" in str(error) else 1
+    if not args.quiet:
+        print(json.dumps(out, indent=2, default=str))
+    return 0
+
+
+if __name__ == "__main__":
+    sys.exit(main())

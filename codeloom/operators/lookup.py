@@ -80,7 +80,7 @@ def impact(g: Graph, start: int, depth: int = 3) -> DataFrame:
 def unknown(g: Graph, start: int, depth: int = 3) -> DataFrame:
     """Unresolved dependencies of the start and of all it reaches, by file."""
     files = reachable(g, start, depth).select("id").union(g.files.filter(F.col("id") == start).select("id"))
-    return g.dependencies.filter("target_file_id IS NULL").join(files, F.col("source_file_id") == F.col("id")).groupBy("source_file_id").agg(F.count(F.lit(1)).alias("unresolved"))
+    return g.dependencies.filter("target_file_id IS NULL").join(files.withColumnRenamed("id", "source_file_id"), "source_file_id").groupBy("source_file_id").agg(F.count(F.lit(1)).alias("unresolved"))
 
 
 def resolve_file(g: Graph, name: str) -> DataFrame:

@@ -2,16 +2,44 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from codeloom.operators import indexing
+from codeloom.sources.store import Store
 
-def watch(events: DataFrame, handler: Callable[[DataFrame, int], None], interval: str = "200 milliseconds") -> StreamingQuery:
-    """events: a streaming DataFrame with ``path``. Files of the engine's own folder are ignored."""
+
+def watch(events: DataFrame, handler: Callable[[DataFrame, int], None], interval: str = "200 milliseconds", checkpoint: str | None = None, once: bool = False) -> StreamingQuery:
+    """events: a streaming DataFrame with ``path``. Files of the engine's own folder are ignored. once: takes what is
+    there and ends."""
 
     def batch(rows: DataFrame, epoch: int) -> None:
         handler(rows.filter("path NOT LIKE '.ctx/%'").dropDuplicates(["path"]), epoch)
 
-    return events.writeStream.foreachBatch(batch).trigger(processingTime=interval).start()
+    out = events.writeStream.foreachBatch(batch)
+    out = out.option("checkpointLocation", checkpoint) if checkpoint else out
+    return (out.trigger(availableNow=True) if once else out.trigger(processingTime=interval)).start()
+
+
+def index_changes(spark: SparkSession, root: str, store: Store, emit: Callable[[str], None] = print) -> Callable[[DataFrame, int], None]:
+    """A handler that brings the index up to date with the paths of a batch and emits one JSON line for each path that
+    changed: a path whose bytes are what the index has, or in no known language, gives none."""
+
+    def handle(paths: DataFrame, epoch: int) -> None:
+        paths = paths.select("path").persist()
+        try:
+            before = store.table("files").select("path", F.col("hash").alias("old"))
+            indexing.index_paths(spark, root, store, paths)
+            now = store.table("files").select("path", F.col("hash").alias("new"))
+            event = F.when(F.col("new").isNull(), "deleted").otherwise("changed")
+            rows = paths.join(before, "path", "left").join(now, "path", "left").filter("NOT (old <=> new)").select("path", event.alias("event"))
+            for row in rows.orderBy("path").toLocalIterator():
+                emit(json.dumps({"event": row.event, "path": row.path}))
+        finally:
+            paths.unpersist()
+
+    return handle
