@@ -4,8 +4,8 @@
 2. A class has a MinHash signature, cut into bands; classes that agree in a band meet in a bucket.
 3. Shingles that no other class in a bucket has are counted: a class with too many of them can link to none and leaves
    its buckets, and a pair that cannot share enough for them is not compared. This is exact.
-4. A round compares, in each bucket, one leader with the members that aren't yet in its component. Signature batches are
-   compared in turn, and a pair is pruned once the posterior probability of a similarity at the threshold (uniform
+4. A round compares, in each bucket, one leader with the members that aren't yet in its component. A first batch of one
+   bit of each hash is compared within the join, then whole hashes batch by batch, and a pair is pruned once the posterior probability of a similarity at the threshold (uniform
    prior, binomial likelihood) falls below ``miss``. Survivors are verified on their full shingle sets.
 5. Links merge components. Compared leaders leave their buckets; a bucket with members of different components gets new
    leaders, from all components but its largest. Rounds end when no bucket is mixed.
@@ -31,14 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import BLOCK_BYTES, BUCKET_KEYS, MULTIPLIERS, SENT, RollingHash, Tables, Told, corpus_bytes, mix, send, shuffle_parts, split_words, tell, utf8
+from codeloom.llm.common import BLOCK_BYTES, BUCKET_KEYS, MIX, MULTIPLIERS, SENT, RollingHash, Tables, Told, corpus_bytes, mix, send, shuffle_parts, split_words, tell, utf8
 
 SKETCH = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n_shingles", pa.int64()), ("signature", pa.binary()), ("bands", pa.list_(pa.int64()))])
 SKETCH_DDL = "doc_id long, key binary, n_shingles long, signature binary, bands array<long>"
-KNOWN = pa.schema([("key", pa.binary()), ("signature", pa.binary()), ("text", pa.string()), ("n", pa.int64()), ("own", pa.int64())])
+KNOWN = pa.schema([("key", pa.binary()), ("signature", pa.binary()), ("text", pa.string()), ("n", pa.int64()), ("own", pa.int64()), ("bits", pa.list_(pa.int64()))])
 STEP_BYTES, SEED, BATCH = 1 << 20, 29, 30
-#: Orders of leaders, rounds with leaders from all components, and pairs of a bucket in a later round.
-LEADERS, RANDOM_ROUNDS, FEW_PAIRS = 4, 2, 20_000
+#: Orders of leaders, rounds with leaders from all components, pairs of a bucket in a later round, and how many times as
+#: many after a round in which fewer than one pair in RARE was a link: what is left has to be compared anyway then.
+LEADERS, RANDOM_ROUNDS, FEW_PAIRS, MORE_PAIRS, RARE = 4, 2, 20_000, 64, 100
 
 
 def shingles(text: bytes, size: int) -> set:
@@ -46,7 +47,7 @@ def shingles(text: bytes, size: int) -> set:
     return set(zip(*(words[k:] for k in range(size)))) if len(words) >= size else {tuple(words)} if words else set()
 
 
-def least_matches(compared: int, percent: int, miss: float) -> int:
+def least_matches(compared: int, percent: float, miss: float) -> int:
     """The fewest matches of so many hashes at which a similarity of the threshold isn't ruled out: for a uniform
     prior the posterior P(s >= t) after m of n matches is P(Bin(n + 1, t) <= m)."""
     t, total = percent / 100, 0.0
@@ -130,6 +131,15 @@ def components(links: DataFrame, cut, steps: int | None = None) -> DataFrame:
     return labels.select("key", "label")
 
 
+def _bits(signatures: list, hashes: int) -> pa.Array:
+    """One bit of each hash, packed: equal hashes have equal bits, others half of the time, so a similarity of s means
+    that at least (1 + s) / 2 of the bits are expected to agree."""
+    short = np.frombuffer(b"".join(signatures), np.uint16).reshape(len(signatures), hashes)
+    bits = ((short.astype(np.uint32) + np.uint32(1)) * np.uint32(MIX & 0xFFFFFFFF) >> np.uint32(31)).astype(np.uint8)
+    words = np.packbits(np.pad(bits, ((0, 0), (0, -hashes % 64))), axis=1).view(np.int64)
+    return pa.array(words.tolist(), pa.list_(pa.int64()))
+
+
 def _surviving(percent: int, hashes: int, miss: float):
     cuts = [(n, least_matches(n, percent, miss)) for n in range(BATCH, hashes + 1, BATCH)]
 
@@ -172,15 +182,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     seen = cut(sketches(docs, size, rows, bands))
     classes = seen.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
     met = classes.select("key", F.explode("bands").alias("band"))
+    spots = classes.select("key", "bands")
     shared = cut(met.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band"))
     member = cut(met.join(shared, "band"))  # band, key
     used = member.select("key").distinct()
     wanted = classes.join(used, "key", "left_semi").select(F.col("doc_id").alias("want"), "key", "signature")
     own = docs.select(F.col("doc_id").cast("long").alias("want"), F.col("text").cast("string").alias("text"))
     facts = cut(_checked(own.join(wanted, "want").select("key", "signature", "text")))
-    facts = cut(_with_own(facts, size))
-    able = facts.filter(F.lit(100 - percent) * F.col("n") >= 100 * F.col("own")).select("key", "n", "own")
-    member = cut(member.join(able, "key").select("band", "key", "n", "own", F.col("key").alias("label")))
+    facts = cut(_with_own(facts, size, rows * bands))
+    able = facts.filter(F.lit(100 - percent) * F.col("n") >= 100 * F.col("own")).select("key", "n", "own", "bits")
+    member = cut(member.join(able, "key").select("band", "key", "n", "own", "bits", F.col("key").alias("label")))
+    differ = rows * bands - least_matches(rows * bands, 50 + percent / 2, miss)  # bits that may
 
     def verified(pairs: DataFrame) -> DataFrame:
         sig = facts.select("key", "signature")
@@ -189,34 +201,45 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
         both = left.join(facts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b").join(facts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
         return cut(both.mapInArrow(_linked(size, percent), pair))
 
-    links = done = None
+    links, done, few = None, None, FEW_PAIRS
     for turn in itertools.count():
         if links is not None:
             # labels may be those of parts of a component: two members with one label are connected, others may be, too
             near = components(links, cut, 2)
-            member = cut(member.join(near.select("key", F.col("label").alias("near")), "key", "left").select("band", "key", "n", "own", F.coalesce("near", "label").alias("label")))
-        lead = ("band", F.col("key").alias("lead"), F.col("label").alias("lead_label"), F.col("n").alias("lead_n"), F.col("own").alias("lead_own"))
+            member = cut(member.join(near.select("key", F.col("label").alias("near")), "key", "left").select("band", "key", "n", "own", "bits", F.coalesce("near", "label").alias("label")))
+        lead = ("band", F.col("key").alias("lead"), F.col("label").alias("lead_label"), F.col("n").alias("lead_n"), F.col("own").alias("lead_own"), F.col("bits").alias("lead_bits"))
         if turn < RANDOM_ROUNDS:
             # few orders of leaders, so that members of large groups meet some and not a band's each
-            first = F.min(F.struct(F.xxhash64("key", F.col("band") % LEADERS, F.lit(turn)).alias("turn"), "key", "label", "n", "own")).alias("first")
+            first = F.min(F.struct(F.xxhash64("key", F.col("band") % LEADERS, F.lit(turn)).alias("turn"), "key", "label", "n", "own", "bits")).alias("first")
             found = member.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), first).filter("low != high")
             lead = cut(found.select("band", "first.*").select(*lead))
         else:
             parts = member.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
             mixed = cut(parts.groupBy("band").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "label")).alias("main")).filter("parts > 1").select("band", "size", F.col("main.label").alias("main")))
             place = F.row_number().over(Window.partitionBy("band").orderBy("key"))
-            found = member.join(mixed, "band").filter("label != main").withColumn("place", place).filter(F.col("place") <= F.greatest(F.lit(1), F.lit(FEW_PAIRS) / F.col("size")))
+            found = member.join(mixed, "band").filter("label != main").withColumn("place", place).filter(F.col("place") <= F.greatest(F.lit(1), F.lit(float(few)) / F.col("size")))
             lead = cut(found.select(*lead))
         if not lead.limit(1).count():
             break
         member = cut(member.join(lead.select("band").distinct(), "band", "left_semi"))  # the others are done
         most = F.least(F.col("n") - F.col("own"), F.col("lead_n") - F.col("lead_own"))  # that the two can share
         able = 100 * most >= percent * (F.col("n") + F.col("lead_n") - most)
-        new = member.join(lead, "band").filter((F.col("label") != F.col("lead_label")) & able).select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct()
+        apart = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("lead_bits")[k])) for k in range(-(-rows * bands // 64))), F.lit(0))
+        able = able & (apart <= differ)  # within the join, so that pruned pairs are never rows
+        able = (F.col("label") != F.col("lead_label")) & able
+        left, right = member, lead
+        if turn >= RANDOM_ROUNDS:
+            # a pair waits for the first of its common buckets: the others need not give it again
+            left, right = member.join(spots, "key"), lead.join(spots.select(F.col("key").alias("lead"), F.col("bands").alias("lead_bands")), "lead")
+            able = able & (F.col("band") == F.array_min(F.array_intersect("bands", "lead_bands")))
+        new = left.join(right, "band").filter(able).select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct()
         new = cut(new.join(done, ["a", "b"], "left_anti") if done is not None else new)
-        member = member.join(lead.select("band", F.col("lead").alias("key")), ["band", "key"], "left_anti").select("band", "key", "n", "own", "label")
+        member = member.join(lead.select("band", F.col("lead").alias("key")), ["band", "key"], "left_anti").select("band", "key", "n", "own", "bits", "label")
         if new.limit(1).count():
-            links = links.union(verified(new)) if links is not None else verified(new)
+            found = verified(new)
+            if turn >= RANDOM_ROUNDS and found.count() * RARE < new.count():
+                few *= MORE_PAIRS
+            links = links.union(found) if links is not None else found
             done = done.union(new) if done is not None else new
     labels = components(links if links is not None else seen.limit(0).select(F.col("key").alias("a"), F.col("key").alias("b")), cut)
     own = cut(seen.select("doc_id", "n_shingles", "key").join(labels, "key", "left").select("doc_id", "n_shingles", F.coalesce("label", "key").alias("label")))
@@ -228,9 +251,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     return whole.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _with_own(facts: DataFrame, size: int) -> DataFrame:
+def _with_own(facts: DataFrame, size: int, hashes: int) -> DataFrame:
     """Adds n, the shingles of a class, and own, those that no other class of facts has. What a text has for itself it
-    shares with none, so more than the share that a link may miss rules out all links."""
+    shares with none, so more than the share that a link may miss rules out all links. Adds bits, too."""
     spark = facts.sparkSession
     _, total = corpus_bytes(facts)
     parts = shuffle_parts(spark)
@@ -262,10 +285,10 @@ def _with_own(facts: DataFrame, size: int) -> DataFrame:
         h, owner, _ = hashed(table, MULTIPLIERS[0])
         hit = Told(told).look(0, h)[0]
         n, own = np.bincount(owner, minlength=table.num_rows), np.bincount(owner[~hit], minlength=table.num_rows)
-        return pa.Table.from_arrays([*(table[c].combine_chunks() for c in ("key", "signature", "text")), pa.array(n), pa.array(own)], schema=KNOWN)
+        return pa.Table.from_arrays([*(table[c].combine_chunks() for c in ("key", "signature", "text")), pa.array(n), pa.array(own), _bits(table["signature"].to_pylist(), hashes)], schema=KNOWN)
 
     told = tell(blocks.groupBy("block").applyInArrow(emit, SENT), 0)
-    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(count, "key binary, signature binary, text string, n long, own long")
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(count, "key binary, signature binary, text string, n long, own long, bits array<long>")
 
 
 def _checked(facts: DataFrame) -> DataFrame:
