@@ -131,16 +131,17 @@ def blocked(docs: DataFrame, size: int, *keys: str, whole_rows: bool = False) ->
 
 
 SENT = "bucket int, block long, keys binary, counts binary, notes binary, first binary, second binary"
-TOLD = "block long, kind int, keys binary, totals binary, leads binary, open binary"
+TOLD = "block long, bucket int, kind int, keys binary, totals binary, leads binary, open binary"
 SENT_SCHEMA = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ("keys", "counts", "notes", "first", "second"))])
-TOLD_SCHEMA = pa.schema([("block", pa.int64()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("keys", "totals", "leads", "open"))])
+TOLD_SCHEMA = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("keys", "totals", "leads", "open"))])
 
 
-def send(block: int, keys: np.ndarray, deal: np.ndarray, buckets: int, order: tuple[np.ndarray, np.ndarray] | None = None, notes: np.ndarray | None = None) -> pa.Table:
+def send(block: int, keys: np.ndarray, deal: np.ndarray, buckets: int, order: tuple[np.ndarray, np.ndarray] | None = None, notes: np.ndarray | None = None, width: int = 8) -> pa.Table:
     """Rows for ``tell``: a block's distinct keys, dealt to buckets by another hash, with their counts in the block.
 
     order: two unsigned arrays; then a key also carries the least pair among its occurrences in the block.
     notes: an expected total for each key. A key that fills a third of the corpus thus adds one entry a block.
+    width: low bytes of a key that travel; with 4, the high half of a key must be its bucket.
     """
     if order is None:
         keys, at, counts = np.unique(keys, return_index=True, return_counts=True)
@@ -161,7 +162,7 @@ def send(block: int, keys: np.ndarray, deal: np.ndarray, buckets: int, order: tu
         column = column[by]
         return pa.array([how(column[edges[b] : edges[b + 1]]) for b in used], pa.binary())
 
-    columns = [packed(keys, np.ndarray.tobytes), packed(counts.astype(np.uint32)), packed(None if notes is None else notes[at].astype(np.uint32)), *(packed(o[at]) for o in order or ())]
+    columns = [packed(keys.astype(f"u{width}"), np.ndarray.tobytes), packed(counts.astype(np.uint32)), packed(None if notes is None else notes[at].astype(np.uint32)), *(packed(o[at]) for o in order or ())]
     columns += [packed(None)] * (5 - len(columns))
     return pa.Table.from_arrays([pa.array(used.astype(np.int32)), pa.array(np.full(len(used), block, np.int64)), *columns], schema=SENT_SCHEMA)
 
@@ -201,7 +202,8 @@ def tell(sent: DataFrame, kind: int, width: int = 8) -> DataFrame:
         for column, how in zip(columns, (np.ndarray.tobytes, planes, np.ndarray.tobytes, np.ndarray.tobytes)):
             column = column[by]
             packed.append(pa.array([how(column[edges[b] : edges[b + 1]]) for b in used], pa.binary()))
-        return pa.Table.from_arrays([pa.array(blocks[used]), pa.array(np.full(len(used), kind, np.int32)), *packed], schema=TOLD_SCHEMA)
+        bucket = table["bucket"][0].as_py()
+        return pa.Table.from_arrays([pa.array(blocks[used]), *(pa.array(np.full(len(used), x, np.int32)) for x in (bucket, kind)), *packed], schema=TOLD_SCHEMA)
 
     return sent.groupBy("bucket").applyInArrow(reduce, TOLD)
 
@@ -214,7 +216,11 @@ class Told:
         kinds = table["kind"].to_numpy() if table.num_rows else np.zeros(0, np.int32)
         for kind in np.unique(kinds).tolist():
             part = table.filter(pa.array(kinds == kind))
-            keys = np.frombuffer(b"".join(part["keys"].to_pylist()), f"u{(widths or {}).get(kind, 8)}")
+            width = (widths or {}).get(kind, 8)
+            keys = np.frombuffer(b"".join(part["keys"].to_pylist()), f"u{width}")
+            if width == 4:  # the high half of a key is its bucket
+                sizes = [len(x) // width for x in part["keys"].to_pylist()]
+                keys = np.repeat(part["bucket"].to_numpy().astype(U64) << U64(32), sizes) | keys
             totals = unplanes(part["totals"].to_pylist(), np.uint32)
             leads, loose = (np.frombuffer(b"".join(part[c].to_pylist()), np.uint8) for c in ("leads", "open"))
             by = np.argsort(keys, kind="stable")

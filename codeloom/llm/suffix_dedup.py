@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 
 from codeloom.llm.common import BUCKET_KEYS, MULTIPLIERS, SENT, SENT_SCHEMA, U64, RollingHash, Told, blocked, corpus_bytes, cover, mix, send, shuffle_parts, tell, utf8
 
-TRIGGER_BYTES, TRIGGER_EVERY = 8, 12
+TRIGGER_BYTES, TRIGGER_EVERY, CORE_BITS = 8, 12, 32
 DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 SPANS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
@@ -71,15 +71,19 @@ class _Phrases:
         by = np.argsort(lo)
         self.at, self.lo, self.hi, self.core_end = at[by], lo[by], hi[by], core_end[by]
         self.doc = doc
-        # a false match of these short keys costs a comparison, not a wrong result
-        self.core = self.one.spans(self.at, self.core_end).astype(np.uint32)
 
     @cached_property
     def two(self) -> RollingHash:
         return RollingHash(self.data, MULTIPLIERS[1])
 
+    def cores(self, buckets: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the cores and the hashes that deal them. A key is the bucket and a short hash that travels alone. Two
+        cores of one key are thus in one bucket and share a total, which costs a comparison: no phrase of theirs has it."""
+        deal = self.two.spans(self.at, self.core_end)
+        return (deal % U64(buckets)) << U64(32) | self.one.spans(self.at, self.core_end) & U64((1 << bits) - 1), deal
+
     def pick(self, chosen: np.ndarray) -> None:
-        for name in ("at", "lo", "hi", "core_end", "core"):
+        for name in ("at", "lo", "hi", "core_end"):
             setattr(self, name, getattr(self, name)[chosen])
 
     def order(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +122,7 @@ class _Leaders(_Phrases):
         self.pick(leads & (loose > 0))
 
 
-def _run(docs: DataFrame, length: int, make, types: pa.Schema) -> DataFrame:
+def _run(docs: DataFrame, length: int, make, types: pa.Schema, core_bits: int = CORE_BITS) -> DataFrame:
     spark = docs.sparkSession
     _, size = corpus_bytes(docs)
     blocks = blocked(docs, size, "doc_id")
@@ -128,13 +132,13 @@ def _run(docs: DataFrame, length: int, make, types: pa.Schema) -> DataFrame:
 
     def cores(table: pa.Table) -> pa.Table:
         p = _Phrases(table, length)
-        return send(table["block"][0].as_py(), p.core, p.two.spans(p.at, p.core_end), many) if len(p.core) else empty()
+        return send(table["block"][0].as_py(), *p.cores(many, core_bits), many, width=4) if len(p.at) else empty()
 
     def phrases(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows or not told.num_rows:
             return empty()
         p = _Phrases(table, length)
-        hit, total, _, _ = Told(told, {1: 4}).look(1, p.core)
+        hit, total, _, _ = Told(told, {1: 4}).look(1, p.cores(many, core_bits)[0])
         p.pick(hit)
         return send(table["block"][0].as_py(), p.phrases(), p.one.spans(p.at, p.core_end), few, p.order(p.lo), total[hit]) if len(p.lo) else empty()
 
@@ -193,10 +197,11 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     return _run(docs, length, make, SPANS)
 
 
-def digest(docs: DataFrame, length: int = 100) -> DataFrame:
-    """As remove_repeats, with the number of spans and a digest of the kept bytes."""
+def digest(docs: DataFrame, length: int = 100, core_bits: int = CORE_BITS) -> DataFrame:
+    """As remove_repeats, with the number of spans and a digest of the kept bytes. core_bits (up to 32) of a core's hash
+    travel; the result is the same for any number."""
 
     def make(doc_id, text, gone):
         return {"doc_id": doc_id, "n_bytes": len(text), "n_removed": int(gone.sum()), "n_spans": len(_runs(gone)[0]), "kept_sha256": hashlib.sha256(_kept(text, gone)).hexdigest()}
 
-    return _run(docs, length, make, DIGEST)
+    return _run(docs, length, make, DIGEST, core_bits)

@@ -77,6 +77,15 @@ def test_suffix(docs, rows, none):
     assert suffix_dedup.digest(none).collect() == []
 
 
+@pytest.mark.parametrize("bits", [1, 8, 14])
+def test_suffix_short_keys(spark, bits):
+    """Each text twice: of short core keys some are equal in a block, for cores of one bucket and of different ones."""
+    r = random.Random(3)
+    texts = ["".join(r.choice("abcdefgh ") for _ in range(300)) for _ in range(300)]
+    found = suffix_dedup.digest(spark.createDataFrame(enumerate(texts * 2), "doc_id long, text string"), core_bits=bits).collect()
+    same([(x.doc_id, x.n_removed) for x in found], [(k, 0 if k < 300 else 300) for k in range(600)])
+
+
 @pytest.mark.parametrize("size,percent", [(3, 85), (5, 80)])
 def test_near(docs, rows, none, size, percent):
     sets = [(r[0], near_dedup.shingles((r[1] or "").encode().lower(), size)) for r in rows]
