@@ -1,11 +1,18 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines: one for each stretch between edges of block elements. A line's length counts its text
-without that of links; lines in boilerplate (elements such as nav, footer, aside or form, and elements whose class, id
-or role says so) count nothing. If a page marks its article, lines outside count nothing either, and inside every line
-with text counts in full. The lengths are summed over windows of ``window`` lines. A surge point is where the sum rises
-over the threshold, a dive point where it falls to it again; the text between them is kept. The threshold is zero in a
-marked article and ``least`` characters else.
+without that of links, times the weight of its place. The lengths are summed over windows of ``window`` lines. A surge
+point is where the sum rises over ``least``, a dive point where it falls to it again; the text between them is kept, but
+for lines of length zero. No line is lifted by neighbours of other places: for the lines of a weight the sums run over
+lines of that weight.
+
+Weights: 1 in general. In an element marked as the article (by its name, role or class) up to ``MARKED``, by the square
+of its share of the page's text outside boilerplate, and the text of links counts by that share; small articles, such as
+teasers, thus weigh about as much as any text. In boilerplate (elements such as nav, footer, aside or form, and elements
+whose class, id or role says so) ``BOILERPLATE``. An article inside an element that only its class, id or role calls
+boilerplate isn't in boilerplate. An element marked as both is an article if it holds over half of the page's text, else
+boilerplate. Boilerplate with over nine tenths of the text is a wrapper and ignored if no text outside it is in a marked
+article.
 
 Character references are decoded, white space inside a line becomes one space, lines are trimmed and joined in page order
 by an empty line.
@@ -19,13 +26,14 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, LEAST = 3, 80
+WINDOW, LEAST, MARKED, BOILERPLATE = 3, 80, 32.0, 1 / 16
 #: Fixed values of HTML: elements whose content is no text, elements that break lines, elements without an end tag.
 HIDDEN = frozenset("script style noscript template head title svg math iframe object canvas audio video select option datalist textarea button".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -43,24 +51,26 @@ _RAW = {t: re.compile(rf"</{t}\b[^>]*(?:>|$)", re.I) for t in ("script", "style"
 
 
 class _Line:
-    __slots__ = ("parts", "plain", "boiler", "inside")
+    __slots__ = ("parts", "plain", "place")
 
-    def __init__(self, boiler: bool, inside: bool):
-        self.parts, self.plain, self.boiler, self.inside = [], 0, boiler, inside
+    def __init__(self, place: tuple):
+        self.parts, self.plain, self.place = [], 0, place
 
 
-def lines(page: str) -> list[tuple[str, int, bool, bool]]:
-    """Text, length without links, whether it is boilerplate, whether it lies in a marked article."""
+def lines(page: str) -> list[tuple[str, int, tuple[tuple[int, ...], int, int]]]:
+    """Text, length without links, and place: the open elements of boilerplate, the outermost open article and the
+    innermost open element marked as both (0: none)."""
     out: list[_Line] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # element, and whether it makes hidden, boilerplate, article
-    hidden = boiler = article = links = 0
-    line = _Line(False, False)
+    stack: list[tuple[str, bool, tuple, tuple]] = []  # element, whether it hides, and the place before it
+    hidden = links = count = 0
+    place, by_name = ((), 0, 0), ()  # by_name: the open boilerplate by element name, not by class, id or role
+    line = _Line(place)
 
     def cut() -> None:
         nonlocal line
         if line.parts:
             out.append(line)
-        line = _Line(boiler > 0, article > 0)
+        line = _Line(place)
 
     def text(raw: str) -> None:
         if raw and not hidden:
@@ -69,10 +79,10 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
                 line.plain += len(raw)
 
     def close(tag: str) -> None:
-        nonlocal hidden, boiler, article, links
+        nonlocal hidden, links, place, by_name
         while stack:
-            name, h, b, a = stack.pop()
-            hidden, boiler, article, links = hidden - h, boiler - b, article - a, links - (name == "a")
+            name, h, place, by_name = stack.pop()
+            hidden, links = hidden - h, links - (name == "a")
             if name == tag:
                 break
 
@@ -116,26 +126,62 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
         names = " ".join(said.get(k, "") for k in ("class", "id", "role", "itemprop")).strip()
         marked = tag in ("article", "main") or said.get("role", "").lower() in ("main", "article") or bool(names and SAYS_ARTICLE.search(names))
         away = tag in HIDDEN or "hidden" in re.sub(r"\"[^\"]*\"|'[^']*'", "", m[3]).lower().split() or said.get("aria-hidden", "").lower() == "true"
-        bad = not marked and tag not in ("html", "body") and (tag in BOILER or bool(names and SAYS_BOILER.search(names)))
-        stack.append((tag, away, bad, marked))
-        hidden, boiler, article, links = hidden + away, boiler + bad, article + marked, links + (tag == "a")
+        said_bad = bool(names and SAYS_BOILER.search(names))
+        bad = tag not in ("html", "body") and (tag in BOILER or said_bad)
+        stack.append((tag, away, place, by_name))
+        hidden, links = hidden + away, links + (tag == "a")
+        if bad or marked:
+            count += 1
+            boiler, article, both = place
+            if marked:
+                place = by_name, article or count, count if bad else 0
+            else:
+                place = (*boiler, count), article, both
+            if tag in BOILER:
+                by_name = (*by_name, count)
         if tag in BLOCK or bad or marked:
             cut()
     cut()
-    return [(" ".join(html.unescape("".join(x.parts)).split()), x.plain, x.boiler, x.inside) for x in out]
+    return [(" ".join(html.unescape("".join(x.parts)).split()), x.plain, x.place) for x in out]
+
+
+def weighted(found: list[tuple]) -> list[tuple[float, float]]:
+    """Weight and weighted length of each line."""
+    plain = [min(n, len(t)) for t, n, _ in found]
+    total = sum(plain)
+    held: Counter = Counter()  # text by element
+    for n, (_, _, (boiler, article, both)) in zip(plain, found):
+        for e in {*boiler, article, both}:
+            held[e] += n
+    wraps = {e for e in held if 10 * held[e] > 9 * total}
+    for n, (_, _, (boiler, article, _)) in zip(plain, found):
+        if n and article:
+            wraps.intersection_update(boiler)  # not those that the text of an article is outside of
+    places = [(tuple(e for e in boiler if e not in wraps) + ((both,) if both and 2 * held[both] <= total else ()), article) for _, _, (boiler, article, both) in found]
+    main = Counter()
+    for n, (boiler, article) in zip(plain, places):
+        if not boiler:
+            main[article] += n
+    out = []
+    for n, (t, *_), (boiler, article) in zip(plain, found, places):
+        share = main[article] / max(main.total(), 1) if article else 0.0
+        weight = BOILERPLATE if boiler else 1 + (MARKED - 1) * share**2
+        out.append((weight, weight * (n if boiler else n + (len(t) - n) * share)))
+    return out
 
 
 def main_text(page: str | None, window: int = WINDOW, least: int = LEAST) -> str:
     found = [x for x in lines(page or "") if x[0]]
-    marked = any(inside and not boiler for _, _, boiler, inside in found)
-    if marked:
-        length, least = [0 if boiler or not inside else len(t) for t, _, boiler, inside in found], 0
-    else:
-        length = [0 if boiler else min(plain, len(t)) for t, plain, boiler, _ in found]
-    # the sum of the windows' best around a line: a line is between surge and dive if a window with it is over the threshold
-    sums = [sum(length[k : k + window]) for k in range(len(length))]
-    over = [max(sums[max(0, k - window + 1) : k + 1]) > least for k in range(len(length))]
-    return "\n\n".join(t for (t, *_), n, o in zip(found, length, over) if o and n)
+    length = weighted(found)
+    keep = [False] * len(found)
+    for level in {w for w, _ in length}:
+        seen = [n if w == level else 0 for w, n in length]
+        # a line is between surge and dive if a window with it is over the threshold
+        sums = [sum(seen[k : k + window]) for k in range(len(seen))]
+        for k, (w, n) in enumerate(length):
+            if w == level and n:
+                keep[k] = max(sums[max(0, k - window + 1) : k + 1]) > least
+    return "\n\n".join(t for (t, *_), k in zip(found, keep) if k)
 
 
 ROWS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])

@@ -235,6 +235,20 @@ def test_html(spark):
     assert html.unescape("&amp;") == "&" and html_text.extract(df.limit(0)).collect() == []
 
 
+def test_html_weights():
+    """Marks weigh on the lengths; they don't decide alone."""
+    long = ("word " * 60).strip()
+    main = f"<div><p>{long}</p><p>{long}</p></div>"
+    teaser = "<article{}><h3><a href=x>A headline</a></h3><p>short</p></article>"
+    for name in ("", " class='related'"):
+        assert html_text.main_text(main + teaser.format(name) * 3) == f"{long}\n\n{long}"
+    article = f"<article><p>{long}</p><p>end</p></article>"
+    assert html_text.main_text(f"<div class='layout with-sidebar'>{article}<aside>x</aside></div>") == f"{long}\n\nend"
+    assert html_text.main_text(f"<div class='layout with-sidebar'>{main}</div><footer>f</footer>") == f"{long}\n\n{long}"
+    assert html_text.main_text(f"{article}<div id=comments><p>{long}</p></div>") == f"{long}\n\nend"
+    assert html_text.main_text("<article><p>a</p></article>") == "" != html_text.main_text("<article><p>a</p></article>", least=0)
+
+
 def test_pipeline(spark, docs, none):
     import corpus_pipeline
 
