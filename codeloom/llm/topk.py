@@ -9,7 +9,9 @@ the smallest ids of each group, and ranked by score and id.
 
 Defined cases: a vector that is null or has a null or non-finite component takes no part, as one with a null id; vectors
 meet only vectors of their own length (an empty one scores 0); equal scores rank by smaller id; all rows with the
-query's id are its own; a query with fewer candidates returns them all; scores beyond 64 bits are clamped.
+query's id are its own; rows that repeat a query's id and vector are one query, each further vector of the id is a
+query of its own, with its own ranks under that id; each row is a candidate, also one that repeats a vec_id; a query
+with fewer candidates returns them all; scores beyond 64 bits are clamped.
 """
 
 from __future__ import annotations
@@ -23,9 +25,9 @@ from codeloom.llm.common import cut, shuffle_parts
 
 SCALE, BINS = 256, 64
 GROUP_ROWS, QUERY_ROWS = 4096, 512
-HITS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-COUNTS = pa.schema([("query_id", pa.int64()), ("bin", pa.int32()), ("n", pa.int64()), ("low", pa.int64()), ("width", pa.int64())])
-PACKED = "part int, dim int, ids binary, data binary, most double"
+HITS = pa.schema([("query_id", pa.int64()), ("copy", pa.int32()), ("vec_id", pa.int64()), ("score", pa.int64())])
+COUNTS = pa.schema([("query_id", pa.int64()), ("copy", pa.int32()), ("bin", pa.int32()), ("n", pa.int64()), ("low", pa.int64()), ("width", pa.int64())])
+PACKED = "part int, dim int, copy int, ids binary, data binary, most double"
 
 
 def _pack(table: pa.Table) -> pa.Table:
@@ -34,7 +36,7 @@ def _pack(table: pa.Table) -> pa.Table:
     order = np.argsort(ids, kind="stable")
     data = np.floor(table["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64) * SCALE).reshape(rows, -1)[order]
     norm = float(np.sqrt((data * data).sum(1)).max(initial=0))
-    return pa.Table.from_pylist([{"part": table["part"][0].as_py(), "dim": table["dim"][0].as_py(), "ids": ids[order].tobytes(), "data": data.tobytes(), "most": norm}], schema=pa.schema([("part", pa.int32()), ("dim", pa.int32()), ("ids", pa.binary()), ("data", pa.binary()), ("most", pa.float64())]))
+    return pa.Table.from_pylist([{"part": table["part"][0].as_py(), "dim": table["dim"][0].as_py(), "copy": table["copy"][0].as_py(), "ids": ids[order].tobytes(), "data": data.tobytes(), "most": norm}], schema=pa.schema([("part", pa.int32()), ("dim", pa.int32()), ("copy", pa.int32()), ("ids", pa.binary()), ("data", pa.binary()), ("most", pa.float64())]))
 
 
 def _score(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -58,19 +60,21 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     bad = F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     valid = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
     valid = valid.filter(F.col("vec_id").isNotNull() & F.col("e").isNotNull() & ~bad).select("vec_id", F.col("e").alias("embedding"), F.size("e").alias("dim"))
-    queries = valid.filter(F.col("vec_id") % every == 0)
+    # copy: the turn of a vector among those of its id; a packed row of queries has each id once
+    turn = F.row_number().over(Window.partitionBy("vec_id").orderBy("embedding"))
+    queries = cut(valid.filter(F.col("vec_id") % every == 0).distinct().withColumn("copy", turn))
     n, nq, dims = valid.agg(F.count(F.lit(1)), F.count(F.when(F.col("vec_id") % every == 0, 1)), F.max("dim")).first()
     groups = max(shuffle_parts(spark), n // GROUP_ROWS + 1)
     blocks = nq // QUERY_ROWS + 1
 
     def packed(rows: DataFrame, parts: int) -> DataFrame:
         part = F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
-        return cut(rows.withColumn("part", part).groupBy("part", "dim").applyInArrow(_pack, PACKED))
+        return cut(rows.withColumn("part", part).groupBy("part", "dim", "copy").applyInArrow(_pack, PACKED))
 
-    held, asked = packed(valid, groups), packed(queries, blocks)
+    held, asked = packed(valid.withColumn("copy", F.lit(0)), groups).drop("copy"), packed(queries, blocks)
     most = held.agg(F.max("most")).first()[0] or 0.0
     bound = int(min(most * most + 1, 2.0**62))
-    asked = asked.select(F.col("part").alias("block"), "dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+    asked = asked.select(F.col("part").alias("block"), "dim", "copy", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
     # each group gets its copy of the query blocks, which are fiftieths of the vectors
     spread = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     state = None
@@ -79,8 +83,8 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
         q = spread
         if state is not None:
             block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
-            ranges = state.groupBy(block, "dim").agg(F.collect_list(F.struct("query_id", "low", "width")).alias("ranges"))
-            q = q.join(ranges, ["block", "dim"])
+            ranges = state.groupBy(block, "dim", "copy").agg(F.collect_list(F.struct("query_id", "low", "width")).alias("ranges"))
+            q = q.join(ranges, ["block", "dim", "copy"])
         return held.join(q, ["part", "dim"])
 
     def spans(row: dict, qi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +105,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
             hist = hist[:, 1:]
             above = hist[:, ::-1].cumsum(1)[:, ::-1] - hist  # scores in higher bins of this group
             at = np.nonzero((hist > 0) & (above < k))
-            yield pa.RecordBatch.from_arrays([pa.array(qi[at[0]]), pa.array(at[1].astype(np.int32)), pa.array(hist[at]), pa.array(low[at[0]]), pa.array(width[at[0]])], schema=COUNTS)
+            yield pa.RecordBatch.from_arrays([pa.array(qi[at[0]]), pa.array(np.full(len(at[0]), row["copy"], np.int32)), pa.array(at[1].astype(np.int32)), pa.array(hist[at]), pa.array(low[at[0]]), pa.array(width[at[0]])], schema=COUNTS)
 
     def keep(batches):
         for row in (r for b in batches for r in b.to_pylist()):
@@ -112,23 +116,23 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
             tie = ok & (score == low[:, None])
             ok &= ~tie | (tie.cumsum(1) <= k)  # ids ascend within a group
             at = np.nonzero(ok)
-            yield pa.RecordBatch.from_arrays([pa.array(qi[at[0]]), pa.array(ci[at[1]]), pa.array(score[at])], schema=HITS)
+            yield pa.RecordBatch.from_arrays([pa.array(qi[at[0]]), pa.array(np.full(len(at[0]), row["copy"], np.int32)), pa.array(ci[at[1]]), pa.array(score[at])], schema=HITS)
 
     width = -(-(2 * bound + 1) // BINS)
     while nq:
-        hist = grid().mapInArrow(count, "query_id long, bin int, n long, low long, width long")
-        bins = hist.groupBy("query_id", "bin", "low", "width").agg(F.sum("n").alias("n"))
-        upto = F.sum("n").over(Window.partitionBy("query_id").orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0))
+        hist = grid().mapInArrow(count, "query_id long, copy int, bin int, n long, low long, width long")
+        bins = hist.groupBy("query_id", "copy", "bin", "low", "width").agg(F.sum("n").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("query_id", "copy").orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0))
         edge = bins.withColumn("upto", upto)
         # the highest bin with k scores in and above it; a query with fewer keeps its lowest
-        edge = edge.groupBy("query_id").agg(F.max(F.when(F.col("upto") >= k, F.struct("bin", "low", "width"))).alias("e"), F.min(F.struct("bin", "low", "width")).alias("f"))
+        edge = edge.groupBy("query_id", "copy").agg(F.max(F.when(F.col("upto") >= k, F.struct("bin", "low", "width"))).alias("e"), F.min(F.struct("bin", "low", "width")).alias("f"))
         e = F.coalesce("e", "f")
-        found = edge.select("query_id", (e["low"] + e["bin"] * e["width"]).alias("low"), F.greatest(F.lit(1), F.ceil(e["width"] / BINS)).cast("long").alias("width"))
-        sized = queries.select(F.col("vec_id").alias("query_id"), "dim").distinct()
-        state = cut(found.join(sized, "query_id"))
+        found = edge.select("query_id", "copy", (e["low"] + e["bin"] * e["width"]).alias("low"), F.greatest(F.lit(1), F.ceil(e["width"] / BINS)).cast("long").alias("width"))
+        sized = queries.select(F.col("vec_id").alias("query_id"), "copy", "dim")
+        state = cut(found.join(sized, ["query_id", "copy"]))
         if width == 1:
             break
         width = -(-width // BINS)
-    hits = (grid() if nq else held.join(spread.withColumn("ranges", F.lit(None)), ["part", "dim"]).limit(0)).mapInArrow(keep, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    hits = (grid() if nq else held.join(spread.withColumn("ranges", F.lit(None)), ["part", "dim"]).limit(0)).mapInArrow(keep, "query_id long, copy int, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id", "copy").orderBy(F.col("score").desc(), "vec_id"))
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

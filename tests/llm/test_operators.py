@@ -190,6 +190,17 @@ def test_topk(spark):
     assert topk.search(df.limit(0)).collect() == []
 
 
+def test_topk_repeated_queries(spark):
+    r = random.Random(4)
+    vectors = [(k, [r.uniform(-1, 1) for _ in range(4)]) for k in range(60)]
+    extra = [r.uniform(-1, 1) for _ in range(4)]
+    search = lambda rows: [tuple(x) for x in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()]
+    once, other = search(vectors[:50]), search([(0, extra), *vectors[1:50]])
+    assert len(once) == 5
+    same(search([vectors[0], vectors[0], *vectors[:50]]), once)
+    same(search([vectors[0], (0, extra), *vectors[:50]]), once + other)
+
+
 def test_mixing(docs, rows, none):
     found = mixing.plan(docs).collect()
     same(found, mixing.plan(docs).collect())
