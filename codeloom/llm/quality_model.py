@@ -9,8 +9,9 @@ bounded seeded sample (``sample`` documents expected, never over twice that) tra
 features: shapes of words, pairs of neighbouring shapes, and whether a word repeats the one before. The scorer's verdict
 on every document is the result.
 
-Defined cases: a text without words (null, empty, white space) gets no votes, the score 0 and is rejected; with no
-document to train on the posterior alone decides; rows that repeat a doc_id are judged one by one; a null doc_id stays
+Defined cases: a text without words (null, empty, white space) gets no votes, the score 0 and is rejected; the class of fewer documents is drawn
+by itself (at most 4 * ``LEAST_DRAWN`` more) if under ``LEAST_DRAWN`` of it were expected in the sample; with documents of one class only, or none,
+there is nothing to train on and the posterior alone decides; rows that repeat a doc_id are judged one by one; a null doc_id stays
 null; very long texts are one step each; an empty table gives an empty result; ``classify`` returns its own columns,
 ``keep`` those of its input, whatever their names.
 """
@@ -36,7 +37,7 @@ LABELLERS = (
     ("words in repeated windows of three", 0.60, 0.20),
     ("words of over 30 bytes", 0.30, 0.02),
 )
-DIMENSIONS, SAMPLE, ROUNDS, STEPS, MOST_FALSE = 2048, 3000, 60, 250, 0.001
+DIMENSIONS, SAMPLE, ROUNDS, STEPS, MOST_FALSE, LEAST_DRAWN = 2048, 3000, 60, 250, 0.001, 30
 STEP_BYTES = 1 << 20
 _CLASS = np.full(256, ord("a"), np.uint8)  # letters, digits and bytes of other letters by class, the rest as they are
 _CLASS[ord("A") : ord("Z") + 1] = ord("A")
@@ -180,17 +181,33 @@ def _judged(rows: DataFrame, sample: int, seed: int) -> DataFrame:
     posterior, _ = estimate(counts) if counts else ({}, None)
     total = sum(counts.values())
 
-    def vectors(part: pa.RecordBatch, t: _Text):
+    sides = {x: [c for c in counts if (posterior[c] >= 0.5) == x] for x in (True, False)}
+    size = {x: sum(counts[c] for c in sides[x]) for x in sides}
+    few = min(size, key=size.get)
+    rate = min(1, sample / max(total, 1))
+    scarce = 0 < size[few] and rate < 1 and size[few] * rate < LEAST_DRAWN
+    rare = sides[few] if scarce else []
+
+    def vectors(part: pa.RecordBatch, t: _Text, only: bool = False):
+        if rare:  # the scarce class is drawn by itself
+            at = np.flatnonzero((np.isin(_codes(t.votes()), rare) & (t.n > 0)) == only)
+            texts = part["text"].to_pylist()
+            t = _Text([texts[k] for k in at.tolist()])
         doc, dim, value = t.features()
         x = np.zeros((len(t.n), DIMENSIONS), np.float32)
         np.add.at(x, (doc, dim), value)
         return [r.tobytes() for r in x], _codes(t.votes()), t.n
 
-    chosen = text.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1_000_000)) < F.lit(round(1_000_000 * min(1, sample / max(total, 1)))))
-    drawn = chosen.select("text").mapInArrow(_stepped(vectors, pa.schema([("x", pa.binary()), ("code", pa.int64()), ("n", pa.int64())])), "x binary, code long, n long").filter("n > 0").limit(2 * sample).collect()
+    def draw(rate: float, make, most: int) -> list:
+        chosen = text.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1_000_000)) < F.lit(round(1_000_000 * rate)))
+        schema = pa.schema([("x", pa.binary()), ("code", pa.int64()), ("n", pa.int64())])
+        return chosen.select("text").mapInArrow(_stepped(make, schema), "x binary, code long, n long").filter("n > 0").limit(most).collect()
+
+    more = draw(min(1, 2 * LEAST_DRAWN / size[few]), lambda part, t: vectors(part, t, True), 4 * LEAST_DRAWN) if scarce else []
+    drawn = draw(rate, vectors, 2 * sample) + more
     labels = np.array([posterior[r.code] for r in drawn])
     weights = None
-    if len(drawn) and 0.001 < labels.mean() < 0.999:
+    if len(drawn) and (0.001 < labels.mean() < 0.999 or len(set(labels >= 0.5)) == 2):
         weights = train(np.stack([np.frombuffer(r.x, np.float32) for r in drawn]), labels)
     fields = [("n_words", pa.int64()), ("votes", pa.string()), ("posterior", pa.float64()), ("score", pa.float64()), ("kept", pa.bool_())]
 

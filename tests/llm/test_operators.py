@@ -226,6 +226,16 @@ def test_quality(spark, docs, none):
     assert quality_model.keep(docs).columns == docs.columns
 
 
+def test_quality_rare_class(spark):
+    """Three bad documents among 2,000: the scorer is trained all the same."""
+    r = random.Random(6)
+    rows = [(k, " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(30))) for k in range(2000)]
+    rows += [(2000 + k, "### | $$$ | %%% | " * 10) for k in range(3)]
+    found = quality_model.classify(spark.createDataFrame(rows, "doc_id long, text string"), sample=100).collect()
+    assert [x.doc_id for x in found if not x.kept] == [2000, 2001, 2002]
+    assert any(abs(x.score - x.posterior) > 1e-6 for x in found)
+
+
 def test_quality_on_labels(spark):
     """Held-out: the labels are never shown to the model."""
     d = "/root/testdata/sf0.01"
