@@ -1,12 +1,14 @@
-"""Shared pieces: shared scratch space, block layout, polynomial hashes, and the packed key exchange."""
+"""Shared pieces: shared scratch space, words, block layout, polynomial hashes, and the packed key exchange."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,10 +22,13 @@ BUCKET_KEYS = 1 << 20
 
 
 def scratch(spark: SparkSession) -> str:
-    """The session's checkpoint folder; set to a temporary one only if the session names none."""
+    """The session's checkpoint folder; a temporary one only in local mode, where executors share it with the driver."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="codeloom-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="codeloom-"))
     return sc.getCheckpointDir()
 
 
@@ -70,6 +75,74 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(29))
 
 
+def spans_of(count: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """count[k] numbers from first[k], for each k."""
+    return np.arange(count.sum()) + np.repeat(first - np.cumsum(count) + count, count)
+
+
+def numbered(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The pieces of data that end at ends, as numbers into the list of distinct pieces; bytes are compared, not hashes."""
+    pieces = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.r_[0, ends].astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+    return pieces.indices.to_numpy().astype(np.int64), pieces.dictionary.to_pylist()
+
+
+class Words:
+    """The words of some texts. n: words by text; at: first word of each text, and the end; ids: a number for each word,
+    the same exactly for the same bytes; hashes: 64 bits for each number, of a hash without algebraic structure."""
+
+    def __init__(self, texts: list[str | None], lower: bool = False):
+        self.words = [split_words(t) for t in texts]
+        self.n = np.array([len(w) for w in self.words], np.int64)
+        self.at = np.r_[0, np.cumsum(self.n)]
+        data = b" ".join(w for words in self.words for w in words) + b" "
+        self.data = data.lower() if lower else data
+        self.ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 32) + 1 if self.at[-1] else self.at[:0]
+        self.ids, self.distinct = numbered(self.data, self.ends)
+
+    @cached_property
+    def doc(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.n)), self.n)
+
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, self.distinct), U64, len(self.distinct))
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Start and exact number of every full window of that size; equal windows of different texts have one number."""
+        count = np.maximum(self.n - size + 1, 0)
+        at = spans_of(count, self.at[:-1])
+        return at, self._codes(at, size, None)[0]
+
+    def _codes(self, at: np.ndarray, size: int, end: np.ndarray | None) -> tuple[np.ndarray, int]:
+        most, code, bound = len(self.distinct) + 1, np.zeros(len(at), np.int64), 1
+        for j in range(size):
+            if bound * most >= 1 << 62:
+                seen, code = np.unique(code, return_inverse=True)
+                bound = len(seen)
+            word = self.ids[np.minimum(at + j, len(self.ids) - 1)] + 1 if len(at) else code
+            code = code * most + (word if end is None else np.where(at + j < end, word, 0))
+            bound *= most
+        return code, bound
+
+    def shingles(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct shingles, text by text: text, exact number, hash. A text of fewer words has its sequence as one."""
+        count = np.where(self.n > 0, np.maximum(self.n - size + 1, 1), 0)
+        owner = np.repeat(np.arange(len(self.n)), count)
+        at = spans_of(count, self.at[:-1])
+        end = self.at[1:][owner]
+        code, bound = self._codes(at, size, end)
+        if bound * len(self.n) >= 1 << 62:
+            seen, code = np.unique(code, return_inverse=True)
+            bound = len(seen)
+        first = np.unique(owner * bound + code, return_index=True)[1]
+        owner, code, at, end = owner[first], code[first], at[first], end[first]
+        h = np.zeros(len(at), U64)
+        for j in range(size):
+            word = self.hashes[self.ids[np.minimum(at + j, len(self.ids) - 1)]] if len(at) else h
+            h = mix(h * U64(MULTIPLIERS[0]) + np.where(at + j < end, word, U64(j)))
+        return owner, code, h
+
+
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 

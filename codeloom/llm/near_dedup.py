@@ -2,16 +2,17 @@
 
 1. Texts with equal word sequences form a class; classes are compared, never copies.
 2. A class has a MinHash signature, cut into bands; classes that agree in a band meet in a bucket.
-3. Shingles that no other class in a bucket has are counted: a class with too many of them can link to none and leaves
-   its buckets, and a pair that cannot share enough for them is not compared. This is exact.
-4. A round compares, in each bucket, one leader with the members that aren't yet in its component. A first batch of one
-   bit of each hash is compared within the join, then whole hashes batch by batch, and a pair is pruned once the posterior probability of a similarity at the threshold (uniform
-   prior, binomial likelihood) falls below ``miss``. Survivors are verified on their full shingle sets.
-5. Links merge components. Compared leaders leave their buckets; a bucket with members of different components gets new
-   leaders, from all components but its largest. Rounds end when no bucket is mixed.
-So every pair that shares a bucket is either connected by verified links or was compared itself, yet a group of n near
-copies costs about n comparisons. With the given bands a pair at the threshold shares no bucket with a probability
-under 1e-6, and is pruned by a batch with one of ``miss``.
+3. Signature batches of the members of a bucket, one bit of each hash, are compared within one task: a pair is pruned once
+   the posterior probability of a similarity at the threshold (uniform prior, binomial likelihood) falls below ``miss``.
+   A bucket gives a spanning forest of what is left, never its pairs; connected, these forests are candidate groups.
+4. Within a candidate group, in one task, pairs are compared by whole hashes, batch by batch, with the same pruning;
+   survivors are verified on their full shingle sets, which are compared by their words and not by hashes. A text that
+   is linked to a group is compared only with those outside of it, and a spanning forest of links comes out.
+Buckets of over ``bucket`` classes and candidate groups of over ``chunk`` bytes are split into chunks. Of a bucket each
+pair of chunks is a task. A candidate group first links each chunk for itself; then those that are not yet in its largest
+part, in chunks again, meet all chunks. So every pair that shares a bucket is either connected by verified links or was
+compared itself, while no row is ever a pair but for the forests: at most one row a class and task. With the given bands a
+pair at the threshold shares no bucket with a probability under 1e-6, and is pruned by a batch with one of ``miss``.
 
 Defined cases: a text without words (null, empty, white space) has an empty set and stays alone; texts with fewer words
 than a shingle have their sequence as one; rows with a null doc_id stay alone, with a null component; rows that repeat a
@@ -22,29 +23,23 @@ returns its own columns only.
 from __future__ import annotations
 
 import hashlib
-import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import BLOCK_BYTES, BUCKET_KEYS, MIX, MULTIPLIERS, SENT, RollingHash, Tables, Told, corpus_bytes, mix, send, shuffle_parts, split_words, tell, utf8
+from codeloom.llm.common import MIX, MULTIPLIERS, Tables, U64, Words, mix, shuffle_parts, spans_of, split_words
 
-SKETCH = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n_shingles", pa.int64()), ("signature", pa.binary()), ("bands", pa.list_(pa.int64()))])
-SKETCH_DDL = "doc_id long, key binary, n_shingles long, signature binary, bands array<long>"
-KNOWN = pa.schema([("key", pa.binary()), ("signature", pa.binary()), ("text", pa.string()), ("n", pa.int64()), ("own", pa.int64()), ("bits", pa.list_(pa.int64()))])
-STEP_BYTES, SEED, BATCH = 1 << 20, 29, 30
-#: Orders of leaders, rounds with leaders from all components, pairs of a bucket in a later round, and how many times as
-#: many after a round in which fewer than one pair in RARE was a link: what is left has to be compared anyway then.
-LEADERS, RANDOM_ROUNDS, FEW_PAIRS, MORE_PAIRS, RARE = 4, 2, 20_000, 64, 100
-
-
-def shingles(text: bytes, size: int) -> set:
-    words = text.split()
-    return set(zip(*(words[k:] for k in range(size)))) if len(words) >= size else {tuple(words)} if words else set()
+SKETCH = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("key", pa.binary()), ("n_shingles", pa.int64()), ("size", pa.int64()), ("signature", pa.binary()), ("bits", pa.binary()), ("bands", pa.list_(pa.int64()))])
+SKETCH_DDL = "doc_id long, mark long, key binary, n_shingles long, size long, signature binary, bits binary, bands array<long>"
+PAIR = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+PAIR_DDL = "a binary, b binary"
+STEP_BYTES, SEED, BATCH, SMALL, STRIP = 1 << 20, 29, 30, 64, 1 << 18
+#: Classes of a bucket and bytes of text of a candidate group that one task compares; rows and bytes that a task takes.
+BUCKET, CHUNK_BYTES, SLOT_ROWS, SLOT_BYTES = 1 << 14, 8 << 20, 1 << 18, 8 << 20
 
 
 def least_matches(compared: int, percent: float, miss: float) -> int:
@@ -58,41 +53,39 @@ def least_matches(compared: int, percent: float, miss: float) -> int:
     return compared
 
 
-def _sketch(ids: list, texts: list, size: int, rows: int, bands: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    words = [split_words(t) for t in texts]
-    joined = [b" ".join(w).lower() for w in words]
-    keys = [hashlib.blake2b(j, digest_size=16).digest() for j in joined]
-    n = np.array([len(w) for w in words], np.int64)
-    has = np.flatnonzero(n)
-    signatures, counts = [None] * len(ids), np.zeros(len(ids), np.int64)
+def _key(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words).lower(), digest_size=16).digest()
+
+
+def _sketch(ids: list, marks: list, texts: list, size: int, rows: int, bands: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    words = Words(texts, lower=True)
+    keys = [_key(w) for w in words.words]
+    has = np.flatnonzero(words.n)
+    signatures, bits, counts = [None] * len(ids), [None] * len(ids), np.zeros(len(ids), np.int64)
     buckets: list = [[]] * len(ids)
     if len(has):
-        data = np.frombuffer(b" ".join(joined[k] for k in has), np.uint8)
-        ends = np.r_[np.flatnonzero(data == 32), len(data)]
-        starts = np.r_[0, ends[:-1] + 1]
-        m = n[has]
-        spans = np.maximum(m - size + 1, 1)
-        edge = np.r_[0, np.cumsum(spans)]
-        at = np.arange(edge[-1]) + np.repeat(np.r_[0, np.cumsum(m)[:-1]] - edge[:-1], spans)
-        last = at + np.repeat(np.minimum(m, size) - 1, spans)
-        h = RollingHash(data, MULTIPLIERS[0]).spans(starts[at], ends[last])
-        owner = np.repeat(np.arange(len(has)), spans)
-        first = np.sort(np.unique(h ^ mix(owner.astype(np.uint64) + np.uint64(1)), return_index=True)[1])
-        h, owner = (h[first] >> np.uint64(32)).astype(np.uint32), owner[first]
-        each = np.bincount(owner, minlength=len(has))
-        counts[has] = each
-        begin = np.cumsum(each) - each
+        owner, _, h = words.shingles(size)
+        h = (h >> U64(32)).astype(np.uint32)
+        counts = np.bincount(owner, minlength=len(ids))
+        begin = (np.cumsum(counts) - counts)[has]
         sig = np.empty((len(has), rows * bands), np.uint32)
         for k in range(rows * bands):
             sig[:, k] = np.minimum.reduceat((h ^ b[k]) * a[k], begin)
-        spot = np.arange(bands, dtype=np.uint64)
-        code = np.zeros((len(has), bands), np.uint64)
+        spot = np.arange(bands, dtype=U64)
+        code = np.zeros((len(has), bands), U64)
         for k in range(rows):
-            code = mix(code * np.uint64(MULTIPLIERS[1]) + sig[:, k * bands : (k + 1) * bands].astype(np.uint64) + spot)
-        short = (sig >> np.uint32(16)).astype(np.uint16)
+            code = mix(code * U64(MULTIPLIERS[1]) + sig[:, k * bands : (k + 1) * bands].astype(U64) + spot)
+        sig = mix(sig.astype(U64) + U64(MIX))  # minima are small numbers, so their bits are mixed before they are cut
+        short = (sig >> U64(48)).astype(np.uint16)
+        packed = np.packbits(np.pad((sig & U64(1)).astype(np.uint8), ((0, 0), (0, -sig.shape[1] % 64))), axis=1)
         for row, k in enumerate(has):
-            signatures[k], buckets[k] = short[row].tobytes(), code[row].view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(counts), pa.array(signatures, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))], schema=SKETCH)
+            signatures[k], bits[k], buckets[k] = short[row].tobytes(), packed[row].tobytes(), code[row].view(np.int64)
+    long = [sum(map(len, w)) + len(w) for w in words.words]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((ids, marks, keys, counts, long, signatures, bits, buckets), SKETCH)], schema=SKETCH)
+
+
+def _slim(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
 
 
 def sketches(docs: DataFrame, size: int, rows: int, bands: int) -> DataFrame:
@@ -102,201 +95,274 @@ def sketches(docs: DataFrame, size: int, rows: int, bands: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
+            ids, marks, texts = (batch[c].to_pylist() for c in ("doc_id", "mark", "text"))
             begin = held = 0
             for k, t in enumerate(texts):
                 held += len(t or "")
                 if held > STEP_BYTES or k == len(texts) - 1:
-                    yield _sketch(ids[begin : k + 1], texts[begin : k + 1], size, rows, bands, a, b)
+                    here = slice(begin, k + 1)
+                    yield _sketch(ids[here], marks[here], texts[here], size, rows, bands, a, b)
                     begin, held = k + 1, 0
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SKETCH_DDL)
+    return _slim(docs).mapInArrow(run, SKETCH_DDL)
 
 
-def components(links: DataFrame, cut, steps: int | None = None) -> DataFrame:
-    """(key, label) of all keys in links (a, b): the label is the least key of the component. After a given number of
-    steps, labels may be those of parts of a component. cut: keeps an intermediate table."""
+def components(links: DataFrame, cut) -> DataFrame:
+    """(key, label) of all keys in links (a, b): the label is the least key of the component. cut: keeps an intermediate
+    table."""
     edges = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
     labels = cut(edges.groupBy(F.col("a").alias("key")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
-    while steps is None or steps > 0:  # labels spread to neighbours, then to the label's label
+    while True:  # labels spread to neighbours, then to the label's label
         near = edges.join(labels, F.col("b") == F.col("key")).groupBy("a").agg(F.min("label").alias("near"))
         step = cut(labels.join(near, F.col("key") == F.col("a")).select("key", F.col("label").alias("old"), F.least("label", "near").alias("label")))
         up = step.select(F.col("key").alias("up"), F.col("label").alias("top"))
         labels = cut(step.join(up, F.col("label") == F.col("up")).select("key", "old", F.least("label", "top").alias("label")))
-        if steps is not None:
-            steps -= 1
-        elif not labels.filter("label != old").limit(1).count():
-            break
+        if not labels.filter("label != old").limit(1).count():
+            return labels.select("key", "label")
         labels = labels.select("key", "label")
-    return labels.select("key", "label")
 
 
-def _bits(signatures: list, hashes: int) -> pa.Array:
-    """One bit of each hash, packed: equal hashes have equal bits, others half of the time, so a similarity of s means
-    that at least (1 + s) / 2 of the bits are expected to agree."""
-    short = np.frombuffer(b"".join(signatures), np.uint16).reshape(len(signatures), hashes)
-    bits = ((short.astype(np.uint32) + np.uint32(1)) * np.uint32(MIX & 0xFFFFFFFF) >> np.uint32(31)).astype(np.uint8)
-    words = np.packbits(np.pad(bits, ((0, 0), (0, -hashes % 64))), axis=1).view(np.int64)
-    return pa.array(words.tolist(), pa.list_(pa.int64()))
+def _connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least member of the component of each of n places, for edges (a, b)."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            break
+        label = new
+        open_ = label[a] != label[b]
+        a, b = a[open_], b[open_]
+    return label
+
+
+def _grown(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+    """As _connected, where near(x, others) tells which of others x has an edge to; each member that is reached is
+    compared only with those that aren't."""
+    left, label = np.arange(n), np.arange(n)
+    while len(left):
+        seed, queue, left = left[0], [left[0]], left[1:]
+        while queue and len(left):
+            hit = near(queue.pop(), left)
+            label[left[hit]] = seed
+            queue += left[hit].tolist()
+            left = left[~hit]
+    return label
+
+
+def _slotted(rows: DataFrame, *keys: str, slots: int) -> DataFrame:
+    """rows with the number of the task that takes them."""
+    return rows.withColumn("slot", F.pmod(F.xxhash64(*keys), F.lit(max(1, slots))))
+
+
+def _edges_of(keys: pa.Array, label: np.ndarray) -> pa.Table:
+    """A star for each component: (label, member)."""
+    other = np.flatnonzero(label != np.arange(len(label)))
+    return pa.Table.from_arrays([keys.take(pa.array(label[other])), keys.take(pa.array(other))], schema=PAIR)
+
+
+def _groups(*columns: pa.ChunkedArray) -> list[np.ndarray]:
+    """The row numbers of each distinct row of integer columns."""
+    numbers = [c.to_numpy() for c in columns]
+    by = np.lexsort(numbers)
+    new = np.zeros(len(by), bool)
+    for c in numbers:
+        new[1:] |= c[by][1:] != c[by][:-1]
+    return np.split(by, np.flatnonzero(new)) if len(by) else []
+
+
+def _met(percent: int, hashes: int, miss: float):
+    """Candidate edges of the buckets of a task, by one bit of each hash: equal hashes have equal bits, others half of
+    the time, so a similarity of s means that (1 + s) / 2 of the bits are expected to agree."""
+    words = -(-hashes // 64)
+    most = [n - least_matches(n, 50 + percent / 2, miss) for n in (min(hashes, 64 * (k + 1)) for k in range(words))]  # that may differ
+
+    def run(table: pa.Table) -> pa.Table:
+        bits = np.frombuffer(b"".join(table["bits"].to_pylist()), U64).reshape(-1, words)
+
+        def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            alive, apart = np.arange(len(b)), np.zeros(len(b), np.int64)
+            for k in range(words):
+                apart += np.bitwise_count(bits[a if np.ndim(a) == 0 else a[alive], k] ^ bits[b[alive], k])
+                ok = apart <= most[k]
+                alive, apart = alive[ok], apart[ok]
+            hit = np.zeros(len(b), bool)
+            hit[alive] = True
+            return hit
+
+        lefts, rights, held = [], [], 0
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> None:
+            if lefts:
+                a, b = np.concatenate(lefts), np.concatenate(rights)
+                hit = alike(a, b)
+                found.append((a[hit], b[hit]))
+                lefts.clear(), rights.clear()
+
+        corners = {}
+        for rows in _groups(table["band"], table["i"], table["j"]):
+            m = len(rows)
+            if m <= SMALL:
+                if m not in corners:
+                    corners[m] = np.triu_indices(m, 1)
+                lefts.append(rows[corners[m][0]])
+                rights.append(rows[corners[m][1]])
+                held += len(lefts[-1])
+                if held > STRIP:
+                    flush()
+                    held = 0
+            else:
+                label = _grown(m, lambda x, others, rows=rows: alike(rows[x], rows[others]))
+                found.append((rows, rows[label]))
+        flush()
+        keys = table["key"].combine_chunks().dictionary_encode()
+        number = keys.indices.to_numpy()
+        a, b = (number[np.concatenate([x[side] for x in found])] if found else number[:0] for side in (0, 1))
+        return _edges_of(keys.dictionary, _connected(len(keys.dictionary), a, b))
 
+    return run
 
-def _surviving(percent: int, hashes: int, miss: float):
-    cuts = [(n, least_matches(n, percent, miss)) for n in range(BATCH, hashes + 1, BATCH)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            left, right = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
-            alive, matches = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-            for n, least in cuts:
-                matches[alive] += (left[alive, n - BATCH : n] == right[alive, n - BATCH : n]).sum(1)
-                alive = alive[matches[alive] >= least]
-            yield batch.select(["a", "b"]).take(pa.array(alive))
+class _Set:
+    """The distinct classes of a task: signatures and exact shingles."""
+
+    def __init__(self, table: pa.Table, size: int, percent: int, miss: float):
+        self.keys = table["key"].combine_chunks()
+        words = Words(table["text"].to_pylist(), lower=True)
+        owner, code, _ = words.shingles(size)
+        self.code = np.unique(code, return_inverse=True)[1]
+        self.n = np.bincount(owner, minlength=table.num_rows)
+        self.at = np.cumsum(self.n) - self.n
+        self.mark = np.zeros(self.code.max(initial=0) + 1, np.int64)
+        self.signature = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint16).reshape(table.num_rows, -1)
+        self.percent, hashes = percent, self.signature.shape[1]
+        self.steps = [(n - BATCH, n, least_matches(n, percent, miss)) for n in range(BATCH, hashes + 1, BATCH)]
+
+    def near(self, x: int, others: np.ndarray) -> np.ndarray:
+        low, high = np.minimum(self.n[x], self.n[others]), np.maximum(self.n[x], self.n[others])
+        alive = np.flatnonzero(100 * low >= self.percent * high)
+        matches = np.zeros(len(alive), np.int64)
+        for a, b, least in self.steps:
+            matches += (self.signature[others[alive], a:b] == self.signature[x, a:b]).sum(1)
+            ok = matches >= least
+            alive, matches = alive[ok], matches[ok]
+        hit = np.zeros(len(others), bool)
+        if len(alive):
+            own = self.code[self.at[x] : self.at[x] + self.n[x]]
+            self.mark[own] = 1
+            for k in range(0, len(alive), 1024):  # survivors are verified on their whole sets
+                part = others[alive[k : k + 1024]]
+                n = self.n[part]
+                both = np.add.reduceat(self.mark[self.code[spans_of(n, self.at[part])]], np.cumsum(n) - n)
+                hit[alive[k : k + 1024]] = 100 * both >= self.percent * (self.n[x] + n - both)
+            self.mark[own] = 0
+        return hit
+
+
+def _distinct(table: pa.Table, *columns: str) -> pa.Table:
+    """The first row of each key (and column); rows whose text isn't that of their key go."""
+    seen, keep = set(), []
+    for k, (text, row) in enumerate(zip(table["text"].to_pylist(), zip(*(table[c].to_pylist() for c in ("key", *columns))))):
+        if row not in seen and _key(split_words(text)) == row[0]:
+            seen.add(row)
+            keep.append(k)
+    return table.take(pa.array(keep, pa.int64()))
+
+
+def _linked(size: int, percent: int, miss: float):
+    """Links within the chunks of a task, as spanning forests."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = _distinct(table)
+        whole = _Set(table, size, percent, miss)
+        label = np.arange(table.num_rows)
+        for rows in _groups(table["group"], table["chunk"]):
+            label[rows] = rows[_grown(len(rows), lambda x, others, rows=rows: whole.near(rows[x], rows[others]))]
+        return _edges_of(whole.keys, label)
 
     return run
 
 
-def _linked(size: int, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple = (None, set())
-        for batch in batches:
-            keep = []
-            for k, (a, ta, tb) in enumerate(zip(batch["a"].to_pylist(), batch["text_a"].to_pylist(), batch["text_b"].to_pylist())):
-                if held[0] != a:
-                    held = (a, shingles(utf8(ta).lower(), size))
-                right = shingles(utf8(tb).lower(), size)
-                both = len(held[1] & right)
-                if 100 * both >= percent * (len(held[1]) + len(right) - both):
-                    keep.append(k)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+def _joined(size: int, percent: int, miss: float):
+    """Links between texts outside the largest part of their group and a chunk of the group, one for each two parts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = _distinct(table, "outside", "i", "j")
+        whole = _Set(table, size, percent, miss)
+        part = table["label"].combine_chunks().dictionary_encode().indices.to_numpy().copy()
+        outside = table["outside"].to_numpy(zero_copy_only=False)
+        a, b = [], []
+        for rows in _groups(table["group"], table["i"], table["j"]):
+            others = rows[~outside[rows]]
+            for x in rows[outside[rows]].tolist():
+                apart = others[part[others] != part[x]]
+                for y in apart[whole.near(x, apart)].tolist() if len(apart) else ():
+                    if part[y] != part[x]:
+                        a.append(x)
+                        b.append(y)
+                        part[rows[part[rows] == part[y]]] = part[x]
+        return pa.Table.from_arrays([whole.keys.take(pa.array(c, pa.int64())) for c in (a, b)], schema=PAIR)
 
     return run
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int = 5, bands: int = 36, miss: float = 1e-9) -> DataFrame:
+def _part(count: Column, salt: int = 0) -> Column:
+    return F.pmod(F.xxhash64("key", F.lit(salt)), count)
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int = 5, bands: int = 36, miss: float = 1e-9, bucket: int = BUCKET, chunk: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links of at least ``percent`` percent), kept."""
-    pair = "a binary, b binary"
+    parts = shuffle_parts(docs.sparkSession)
     tables = Tables(docs.sparkSession)
     cut = tables.keep
     seen = cut(sketches(docs, size, rows, bands))
-    classes = seen.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
+    per_key = seen.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key")
+    classes = cut(per_key.agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.first("size").alias("size"), F.first("signature").alias("signature"), F.first("bits").alias("bits"), F.first("bands").alias("bands")))
+
+    # buckets
     met = classes.select("key", F.explode("bands").alias("band"))
-    spots = classes.select("key", "bands")
-    shared = cut(met.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band"))
-    member = cut(met.join(shared, "band"))  # band, key
-    used = member.select("key").distinct()
-    wanted = classes.join(used, "key", "left_semi").select(F.col("doc_id").alias("want"), "key", "signature")
-    own = docs.select(F.col("doc_id").cast("long").alias("want"), F.col("text").cast("string").alias("text"))
-    facts = cut(_checked(own.join(wanted, "want").select("key", "signature", "text")))
-    facts = cut(_with_own(facts, size, rows * bands))
-    able = facts.filter(F.lit(100 - percent) * F.col("n") >= 100 * F.col("own")).select("key", "n", "own", "bits")
-    member = cut(member.join(able, "key").select("band", "key", "n", "own", "bits", F.col("key").alias("label")))
-    differ = rows * bands - least_matches(rows * bands, 50 + percent / 2, miss)  # bits that may
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        sig = facts.select("key", "signature")
-        both = pairs.join(sig.select(F.col("key").alias("a"), F.col("signature").alias("sig_a")), "a").join(sig.select(F.col("key").alias("b"), F.col("signature").alias("sig_b")), "b")
-        left = both.mapInArrow(_surviving(percent, rows * bands, miss), pair)
-        both = left.join(facts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b").join(facts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
-        return cut(both.mapInArrow(_linked(size, percent), pair))
-
-    links, done, few = None, None, FEW_PAIRS
-    for turn in itertools.count():
-        if links is not None:
-            # labels may be those of parts of a component: two members with one label are connected, others may be, too
-            near = components(links, cut, 2)
-            member = cut(member.join(near.select("key", F.col("label").alias("near")), "key", "left").select("band", "key", "n", "own", "bits", F.coalesce("near", "label").alias("label")))
-        lead = ("band", F.col("key").alias("lead"), F.col("label").alias("lead_label"), F.col("n").alias("lead_n"), F.col("own").alias("lead_own"), F.col("bits").alias("lead_bits"))
-        if turn < RANDOM_ROUNDS:
-            # few orders of leaders, so that members of large groups meet some and not a band's each
-            first = F.min(F.struct(F.xxhash64("key", F.col("band") % LEADERS, F.lit(turn)).alias("turn"), "key", "label", "n", "own", "bits")).alias("first")
-            found = member.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), first).filter("low != high")
-            lead = cut(found.select("band", "first.*").select(*lead))
-        else:
-            parts = member.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
-            mixed = cut(parts.groupBy("band").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "label")).alias("main")).filter("parts > 1").select("band", "size", F.col("main.label").alias("main")))
-            place = F.row_number().over(Window.partitionBy("band").orderBy("key"))
-            found = member.join(mixed, "band").filter("label != main").withColumn("place", place).filter(F.col("place") <= F.greatest(F.lit(1), F.lit(float(few)) / F.col("size")))
-            lead = cut(found.select(*lead))
-        if not lead.limit(1).count():
-            break
-        member = cut(member.join(lead.select("band").distinct(), "band", "left_semi"))  # the others are done
-        most = F.least(F.col("n") - F.col("own"), F.col("lead_n") - F.col("lead_own"))  # that the two can share
-        able = 100 * most >= percent * (F.col("n") + F.col("lead_n") - most)
-        apart = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("lead_bits")[k])) for k in range(-(-rows * bands // 64))), F.lit(0))
-        able = able & (apart <= differ)  # within the join, so that pruned pairs are never rows
-        able = (F.col("label") != F.col("lead_label")) & able
-        left, right = member, lead
-        if turn >= RANDOM_ROUNDS:
-            # a pair waits for the first of its common buckets: the others need not give it again
-            left, right = member.join(spots, "key"), lead.join(spots.select(F.col("key").alias("lead"), F.col("bands").alias("lead_bands")), "lead")
-            able = able & (F.col("band") == F.array_min(F.array_intersect("bands", "lead_bands")))
-        new = left.join(right, "band").filter(able).select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct()
-        new = cut(new.join(done, ["a", "b"], "left_anti") if done is not None else new)
-        member = member.join(lead.select("band", F.col("lead").alias("key")), ["band", "key"], "left_anti").select("band", "key", "n", "own", "bits", "label")
-        if new.limit(1).count():
-            found = verified(new)
-            if turn >= RANDOM_ROUNDS and found.count() * RARE < new.count():
-                few *= MORE_PAIRS
-            links = links.union(found) if links is not None else found
-            done = done.union(new) if done is not None else new
-    labels = components(links if links is not None else seen.limit(0).select(F.col("key").alias("a"), F.col("key").alias("b")), cut)
-    own = cut(seen.select("doc_id", "n_shingles", "key").join(labels, "key", "left").select("doc_id", "n_shingles", F.coalesce("label", "key").alias("label")))
+    shared = met.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("chunks", F.ceil(F.col("n") / bucket).cast("int"))
+    member = cut(met.join(shared, "band").select("band", "key", "chunks"))
+    own = _part(F.col("chunks"))
+    meeting = F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: F.struct(F.least(own, x).cast("int").alias("i"), F.greatest(own, x).cast("int").alias("j"))))
+    seated = member.join(classes.select("key", "bits"), "key").select("band", "key", "bits", meeting.alias("m")).select("band", "key", "bits", "m.*")
+    total = member.agg(F.sum("chunks")).first()[0] or 0
+    candidates = cut(_slotted(seated, "band", "i", "j", slots=max(parts, total // SLOT_ROWS)).groupBy("slot").applyInArrow(_met(percent, rows * bands, miss), PAIR_DDL))
+
+    # candidate groups, with their texts
+    grouped = components(candidates, cut).withColumnRenamed("label", "lead")
+    wanted = cut(classes.select("key", "first", "size", "signature").join(grouped, "key"))
+    sizes = cut(wanted.groupBy("lead").agg(F.sum("size").alias("bytes")).withColumn("chunks", F.ceil(F.col("bytes") / chunk).cast("int")).withColumn("group", F.xxhash64("lead")))
+    slots = max(parts, (sizes.agg(F.sum("bytes")).first()[0] or 0) // SLOT_BYTES)
+    facts = wanted.join(sizes.select("lead", "chunks", "group"), "lead").select("lead", "group", "chunks", "key", "signature", F.col("first.doc_id").alias("doc_id"), F.col("first.mark").alias("mark"))
+    facts = cut(_slim(docs).join(facts, ["doc_id", "mark"]).select("lead", "group", "chunks", "key", "signature", "text", _part(F.col("chunks")).alias("chunk")))
+    links = cut(_slotted(facts, "group", "chunk", slots=slots).groupBy("slot").applyInArrow(_linked(size, percent, miss), PAIR_DDL))
+
+    # what is outside the largest part of a group of several chunks
+    labels = components(links, cut)
+    large = facts.filter("chunks > 1")
+    if large.limit(1).count():
+        large = cut(large.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")))
+        main = large.groupBy("lead", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes"))
+        main = main.groupBy("lead").agg(F.max(F.struct("n", "label"))["label"].alias("main"), (F.sum("bytes") - F.max(F.struct("n", "label", "bytes"))["bytes"]).alias("rest"))
+        large = cut(large.join(main, "lead").withColumn("rests", F.ceil(F.col("rest") / chunk).cast("int")).filter("rests > 0"))
+        columns = ("group", "key", "label", "signature", "text")
+        every = large.select(*columns, F.lit(False).alias("outside"), F.col("chunk").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("j"))
+        others = large.filter("label != main").select(*columns, F.lit(True).alias("outside"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"), _part(F.col("rests"), 1).cast("int").alias("j"))
+        both = every.unionByName(others)
+        slots = max(parts, (both.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // SLOT_BYTES)
+        more = cut(_slotted(both, "group", "i", "j", slots=slots).groupBy("slot").applyInArrow(_joined(size, percent, miss), PAIR_DDL))
+        labels = components(links.union(more), cut)
+
     linked = "n_shingles > 0 AND doc_id IS NOT NULL"
+    own = cut(seen.select("doc_id", "n_shingles", "key").join(labels, "key", "left").select("doc_id", "n_shingles", F.coalesce("label", "key").alias("label")))
     least = cut(own.filter(linked).groupBy("label").agg(F.min("doc_id").alias("component_id")))
     tables.drop_all_but(2)
     alone = own.filter(f"NOT ({linked})").withColumn("component_id", F.col("doc_id"))
     whole = own.filter(linked).join(least, "label").select("doc_id", "n_shingles", "component_id").union(alone.select("doc_id", "n_shingles", "component_id"))
     return whole.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-
-
-def _with_own(facts: DataFrame, size: int, hashes: int) -> DataFrame:
-    """Adds n, the shingles of a class, and own, those that no other class of facts has. What a text has for itself it
-    shares with none, so more than the share that a link may miss rules out all links. Adds bits, too."""
-    spark = facts.sparkSession
-    _, total = corpus_bytes(facts)
-    parts = shuffle_parts(spark)
-    buckets = max(parts, total // 6 // BUCKET_KEYS + 1)
-    blocks = facts.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(max(parts, total // BLOCK_BYTES + 1))))
-
-    def hashed(table: pa.Table, multiplier: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        words = [split_words(t) for t in table["text"].to_pylist()]
-        n = np.array([len(w) for w in words], np.int64)
-        data = np.frombuffer(b" ".join(w for x in words for w in x).lower(), np.uint8)
-        ends = np.r_[np.flatnonzero(data == 32), len(data)]
-        starts = np.r_[0, ends[:-1] + 1]
-        spans = np.maximum(n - size + 1, 1)
-        edge = np.r_[0, np.cumsum(spans)]
-        at = np.arange(edge[-1]) + np.repeat(np.r_[0, np.cumsum(n)[:-1]] - edge[:-1], spans)
-        last = at + np.repeat(np.minimum(n, size) - 1, spans)
-        owner = np.repeat(np.arange(len(n)), spans)
-        h = RollingHash(data, multiplier).spans(starts[at], ends[last])
-        first = np.unique(h ^ mix(owner.astype(np.uint64) + np.uint64(1)), return_index=True)[1]
-        return h[first], owner[first], first
-
-    def emit(table: pa.Table) -> pa.Table:
-        h, _, first = hashed(table, MULTIPLIERS[0])
-        return send(table["block"][0].as_py(), h, mix(h ^ np.uint64(MULTIPLIERS[1])), buckets)
-
-    def count(table: pa.Table, told: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return KNOWN.empty_table()
-        h, owner, _ = hashed(table, MULTIPLIERS[0])
-        hit = Told(told).look(0, h)[0]
-        n, own = np.bincount(owner, minlength=table.num_rows), np.bincount(owner[~hit], minlength=table.num_rows)
-        return pa.Table.from_arrays([*(table[c].combine_chunks() for c in ("key", "signature", "text")), pa.array(n), pa.array(own), _bits(table["signature"].to_pylist(), hashes)], schema=KNOWN)
-
-    told = tell(blocks.groupBy("block").applyInArrow(emit, SENT), 0)
-    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(count, "key binary, signature binary, text string, n long, own long, bits array<long>")
-
-
-def _checked(facts: DataFrame) -> DataFrame:
-    """One row for each key; where a doc_id has several texts, the one whose key it is."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [k for k, (key, text) in enumerate(zip(batch["key"].to_pylist(), batch["text"].to_pylist())) if hashlib.blake2b(b" ".join(split_words(text)).lower(), digest_size=16).digest() == key]
-            yield batch.take(pa.array(keep, pa.int64()))
-
-    return facts.mapInArrow(run, "key binary, signature binary, text string").groupBy("key").agg(F.first("signature").alias("signature"), F.first("text").alias("text"))

@@ -16,6 +16,32 @@ from codeloom.llm import common, html_text, mixing, near_dedup, packing, quality
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, block int, key string, row string, label string"
 
 
+def shingles(text, size):
+    words = text.split()
+    return set(zip(*(words[k:] for k in range(size)))) if len(words) >= size else {tuple(words)} if words else set()
+
+
+def components(sets, percent):
+    """For each (doc_id, set) the least doc_id of its component, by all pairs."""
+    label = list(range(len(sets)))
+
+    def find(k):
+        while label[k] != k:
+            k = label[k]
+        return k
+
+    nodes = [k for k, (i, s) in enumerate(sets) if s and i is not None]
+    for n, a in enumerate(nodes):
+        for b in nodes[n + 1 :]:
+            both = len(sets[a][1] & sets[b][1])
+            if 100 * both >= percent * (len(sets[a][1]) + len(sets[b][1]) - both):
+                label[find(a)] = find(b)
+    least = defaultdict(lambda: 1 << 60)
+    for k in nodes:
+        least[find(k)] = min(least[find(k)], sets[k][0])
+    return [least[find(k)] if k in set(nodes) else i for k, (i, _) in enumerate(sets)]
+
+
 def texts():
     r = random.Random(5)
     word = lambda: "".join(r.choice("abcdeéß") for _ in range(r.randint(1, 6)))
@@ -88,23 +114,30 @@ def test_suffix_short_keys(spark, bits):
 
 @pytest.mark.parametrize("size,percent", [(3, 85), (5, 80)])
 def test_near(docs, rows, none, size, percent):
-    sets = [(r[0], near_dedup.shingles((r[1] or "").encode().lower(), size)) for r in rows]
-    nodes = [k for k, (i, s) in enumerate(sets) if s and i is not None]
-    label = {k: k for k in nodes}
-    for a in nodes:
-        for b in nodes:
-            both = len(sets[a][1] & sets[b][1])
-            if 100 * both >= percent * (len(sets[a][1]) + len(sets[b][1]) - both):
-                old, new = label[b], label[a]
-                label = {k: new if v == old else v for k, v in label.items()}
-    least = defaultdict(lambda: 1 << 60)
-    for k in nodes:
-        least[label[k]] = min(least[label[k]], sets[k][0])
-    want = [(i, len(s), least[label[k]] if k in label else i, (least[label[k]] == i) if k in label else True) for k, (i, s) in enumerate(sets)]
+    sets = [(r[0], shingles((r[1] or "").encode().lower(), size)) for r in rows]
+    want = [(i, len(s), c, c == i) for (i, s), c in zip(sets, components(sets, percent))]
     same([tuple(r) for r in near_dedup.near_duplicates(docs, size, percent).collect()], want)
     assert near_dedup.near_duplicates(none).collect() == []
 
 
+@pytest.mark.parametrize("bucket,chunk", [(1 << 14, 8 << 20), (50, 8 << 20), (1 << 14, 4000), (7, 2000)])
+def test_near_large_group(spark, bucket, chunk):
+    """A group of copies with similarities from 0.4 to 1, in one chunk or in many."""
+    r = random.Random(8)
+    base = [f"w{r.randint(0, 500)}" for _ in range(60)]
+    rows = []
+    for k in range(260):
+        w = list(base)
+        for _ in range(r.randint(0, 7)):
+            w[r.randrange(60)] = f"x{r.randint(0, 40)}"
+        rows.append((k, " ".join(w)))
+    sets = [(k, shingles(t.encode(), 3)) for k, t in rows]
+    want = [(k, c) for (k, _), c in zip(sets, components(sets, 85))]
+    assert 10 < len({c for _, c in want}) < 200
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, 6, 30, bucket=bucket, chunk=chunk).collect()
+    same([(x.doc_id, x.component_id) for x in found], want)
+
+
 def test_least_matches():
     assert near_dedup.least_matches(30, 85, 1e-9) < near_dedup.least_matches(30, 85, 1e-3) < 30
 
