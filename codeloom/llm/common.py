@@ -107,11 +107,19 @@ class Words:
     def hashes(self) -> np.ndarray:
         return np.fromiter(map(xxhash.xxh3_64_intdigest, self.distinct), U64, len(self.distinct))
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Start and exact number of every full window of that size; equal windows of different texts have one number."""
+    def repeats(self, size: int) -> np.ndarray:
+        """Which words are in a window of that size that its text has twice or more."""
         count = np.maximum(self.n - size + 1, 0)
-        at = spans_of(count, self.at[:-1])
-        return at, self._codes(at, size, None)[0]
+        at, owner = spans_of(count, self.at[:-1]), np.repeat(np.arange(len(self.n)), count)
+        _, back, times = np.unique(self._in_text(owner, *self._codes(at, size, None)), return_inverse=True, return_counts=True)
+        at = at[times[back] > 1]
+        return cover(len(self.ids), at, at + size)
+
+    def _in_text(self, owner: np.ndarray, code: np.ndarray, bound: int) -> np.ndarray:
+        if bound * len(self.n) >= 1 << 62:
+            seen, code = np.unique(code, return_inverse=True)
+            bound = len(seen)
+        return owner * bound + code
 
     def _codes(self, at: np.ndarray, size: int, end: np.ndarray | None) -> tuple[np.ndarray, int]:
         most, code, bound = len(self.distinct) + 1, np.zeros(len(at), np.int64), 1
@@ -131,10 +139,7 @@ class Words:
         at = spans_of(count, self.at[:-1])
         end = self.at[1:][owner]
         code, bound = self._codes(at, size, end)
-        if bound * len(self.n) >= 1 << 62:
-            seen, code = np.unique(code, return_inverse=True)
-            bound = len(seen)
-        first = np.unique(owner * bound + code, return_index=True)[1]
+        first = np.unique(self._in_text(owner, code, bound), return_index=True)[1]
         owner, code, at, end = owner[first], code[first], at[first], end[first]
         h = np.zeros(len(at), U64)
         for j in range(size):

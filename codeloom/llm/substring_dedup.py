@@ -5,8 +5,10 @@ distinct hashes, packed, to hash buckets; a bucket counts them and tells each bl
 more; the block merges its repeated windows into maximal intervals and removes them. Text is shuffled once (Spark
 reuses that exchange for both reads) and a window costs about nine bytes of shuffle.
 
-A key has 64 bits, and the bucket is chosen by a second, independent hash, so that the chance of a wrong match depends
-on the windows in a bucket (a constant) and not on the corpus: about 5e-14 for each window at any size.
+A word enters the polynomials as 64 bits of a hash without algebraic structure, so that words cannot be made to
+collide by repeating a pattern. A key has 64 bits, and the bucket is chosen by a second polynomial over other numbers, so
+that the chance of a wrong match depends on the windows in a bucket (a constant) and not on the corpus: about 5e-14 for
+each window at any size. Windows are not compared word by word.
 
 Defined cases: a null or empty text has no words and removes nothing; a text shorter than the window stays whole;
 repeated rows, also of one doc_id, count as separate occurrences; a null doc_id is a row as any other; an empty table
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from codeloom.llm.common import MULTIPLIERS, SENT, SENT_SCHEMA, BUCKET_KEYS, RollingHash, Told, blocked, corpus_bytes, cover, send, shuffle_parts, split_words, tell
+from codeloom.llm.common import BUCKET_KEYS, MULTIPLIERS, SENT, SENT_SCHEMA, U64, RollingHash, Told, Words, blocked, corpus_bytes, cover, mix, send, shuffle_parts, spans_of, tell
 
 DIGEST = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 DIGEST_DDL = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -34,22 +36,17 @@ class _Windows:
     """Every window of a block's documents."""
 
     def __init__(self, texts: list[str | None], window: int):
-        self.words = [split_words(t) for t in texts]
-        n = np.array([len(w) for w in self.words], np.int64)
-        flat = [w for words in self.words for w in words]
-        self.first = np.r_[0, np.cumsum(n)]
-        lengths = np.fromiter(map(len, flat), np.int64, len(flat))
-        ends = np.cumsum(lengths + 1) - 1
-        starts = ends - lengths
-        full = np.maximum(n - window + 1, 0)
-        at = np.arange(full.sum()) + np.repeat(self.first[:-1] - np.r_[0, np.cumsum(full)[:-1]], full)
-        data = np.frombuffer(b" ".join(flat), np.uint8)
-        self.at = at
-        self.keys = RollingHash(data, MULTIPLIERS[0]).spans(starts[at], ends[at + window - 1]) if len(at) else np.zeros(0, np.uint64)
-        self.data, self.starts, self.ends, self.window = data, starts, ends, window
+        words = Words(texts)
+        self.words, self.first = words.words, words.at
+        self.at = spans_of(np.maximum(words.n - window + 1, 0), words.at[:-1])
+        self.numbers, self.ids, self.window = words.hashes, words.ids, window
+        self.keys = self._hash(0)
+
+    def _hash(self, which: int) -> np.ndarray:
+        return RollingHash(mix(self.numbers ^ U64(which))[self.ids], MULTIPLIERS[which]).spans(self.at, self.at + self.window)
 
     def deal(self) -> np.ndarray:
-        return RollingHash(self.data, MULTIPLIERS[1]).spans(self.starts[self.at], self.ends[self.at + self.window - 1]) if len(self.at) else self.keys
+        return self._hash(1)
 
 
 def _removed(docs: DataFrame, window: int, make, types: pa.Schema, ddl: str, whole_rows: bool = False) -> DataFrame:
