@@ -2,8 +2,8 @@
 
 A byte-level BPE splits text before it merges, and never across the edge from a character that isn't white space to an
 ASCII white space. Text is therefore cut at those edges into chunks; each distinct chunk is encoded once by the library
-and its ids are kept in a bounded table, looked up by a 64-bit hash of the chunk. The ids equal those of encoding the
-whole text (tests compare them).
+and its ids are kept in a bounded table by its bytes. The ids equal those of encoding the whole text (tests compare
+them); texts with the string of an added token, such as the end of text, are encoded whole.
 """
 
 from __future__ import annotations
@@ -13,9 +13,9 @@ import re
 
 import numpy as np
 
-from codeloom.llm.common import MULTIPLIERS, RollingHash, utf8
+from codeloom.llm.common import numbered, utf8
 
-#: Texts with other white space than ASCII are encoded whole.
+#: Texts with other white space than ASCII are encoded whole, too.
 _OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -29,7 +29,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [_OTHER_SPACE.pattern, *(re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values())]
+        self.by_itself = re.compile("|".join(added))
         vocabulary = self.tokenizer.get_vocab()
         self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a token of this vocabulary has one letter a byte
         for token, i in vocabulary.items():
@@ -37,8 +38,8 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        """keys are sorted; the chunk of keys[k] has length[slot[k]] ids from flat[start[slot[k]]]."""
-        self.keys, self.slot, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        """A chunk has length[slot[chunk]] ids from flat[start[slot[chunk]]]."""
+        self.slot, self.used = {}, 0
         self.flat, self.start, self.length = np.zeros(1 << 20, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
@@ -47,31 +48,23 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x, np.uint32) for x in self._ids(texts)]
 
-    def _learn(self, keys: np.ndarray, chunks: list[bytes]) -> None:
+    def _learn(self, chunks: list[bytes]) -> None:
         """Encode chunks joined into longer texts, which is exact as all but the first start with white space, and cut
         the ids where the bytes of the chunks end."""
         joins = [bool(c) and _SPACE[c[0]] and bool(c.strip()) for c in chunks]
         by = sorted(range(len(chunks)), key=joins.__getitem__)
         alone = len(by) - sum(joins)
-        chunks, keys = [chunks[k] for k in by], keys[by]
+        chunks = [chunks[k] for k in by]
         texts = chunks[:alone] + [b"".join(chunks[k : k + JOINED]) for k in range(alone, len(chunks), JOINED)]
         ids = np.array([i for x in self._ids([t.decode("utf-8", "surrogatepass") for t in texts]) for i in x], np.uint32)
         cuts = np.r_[0, np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)))) + 1]
         while self.used + len(ids) > len(self.flat):
             self.flat = np.r_[self.flat, np.zeros_like(self.flat)]
         self.flat[self.used : self.used + len(ids)] = ids
-        order = np.argsort(keys)
-        at = np.searchsorted(self.keys, keys[order])
-        self.slot = np.insert(self.slot, at, len(self.start) + order)
-        self.keys = np.insert(self.keys, at, keys[order])
+        self.slot.update(zip(chunks, range(len(self.start), len(self.start) + len(chunks))))
         self.start, self.length = np.r_[self.start, self.used + cuts[:-1]], np.r_[self.length, np.diff(cuts)]
         self.used += len(ids)
 
-    def _missing(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.ones(len(keys), bool)
-        return self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] != keys
-
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
         size = begin = 0
@@ -83,7 +76,7 @@ class Encoder:
         return out
 
     def _step(self, texts: list[str | None]) -> list[np.ndarray]:
-        whole = [k for k, t in enumerate(texts) if t and _OTHER_SPACE.search(t)]
+        whole = [k for k, t in enumerate(texts) if t and self.by_itself.search(t)]
         own = [utf8(t) for t in texts]
         for k in whole:
             own[k] = b""
@@ -96,15 +89,14 @@ class Encoder:
             begins = np.r_[True, space[1:] & ~space[:-1]]
             begins[edges[:-1][edges[:-1] < len(data)]] = True
             start = np.flatnonzero(begins)
-            end = np.r_[start[1:], len(data)]
-            keys, first, back = np.unique(RollingHash(data, MULTIPLIERS[0]).spans(start, end), return_index=True, return_inverse=True)
-            new = self._missing(keys)
-            if len(self.keys) + int(new.sum()) > MOST_CHUNKS:
+            back, chunks = numbered(joined, np.r_[start[1:], len(data)])
+            new = [c for c in chunks if c not in self.slot]
+            if len(self.slot) + len(new) > MOST_CHUNKS:
                 self._reset()
-                new[:] = True
-            if new.any():
-                self._learn(keys[new], [joined[a:b] for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist())])
-            slot = self.slot[np.searchsorted(self.keys, keys)][back]
+                new = chunks
+            if new:
+                self._learn(new)
+            slot = np.fromiter(map(self.slot.__getitem__, chunks), np.int64, len(chunks))[back]
             length = self.length[slot]
             ends = np.cumsum(length)
             ids = self.flat[np.repeat(self.start[slot] - ends + length, length) + np.arange(ends[-1])]
