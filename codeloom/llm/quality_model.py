@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import MULTIPLIERS, U64, RollingHash, cover, mix, split_words
+from codeloom.llm.common import MULTIPLIERS, U64, RollingHash, Words, mix
 
 #: Labellers: a measure, the value from which the vote is bad, and the value up to which it is good.
 LABELLERS = (
@@ -53,17 +53,15 @@ class _Text:
     """The words of some texts, in one buffer."""
 
     def __init__(self, texts: list):
-        words = [split_words(t) for t in texts]
-        self.n = np.array([len(w) for w in words], np.int64)
-        self.doc = np.repeat(np.arange(len(words)), self.n)
-        self.data = np.frombuffer(b" ".join(w for x in words for w in x), np.uint8)
-        self.ends = np.r_[np.flatnonzero(self.data == 32), len(self.data)] if len(self.doc) else np.zeros(0, np.int64)
-        self.starts = np.r_[0, self.ends[:-1] + 1] if len(self.doc) else self.ends
-        self.rolling = RollingHash(self.data, MULTIPLIERS[0])
+        self.words = Words(texts)
+        self.n, self.doc = self.words.n, self.words.doc
+        self.data = np.frombuffer(self.words.data, np.uint8)[:-1]  # without the last space
+        self.ends = self.words.ends - 1
+        self.starts = np.r_[0, self.words.ends[:-1]] if len(self.doc) else self.ends
         self.same = np.zeros(len(self.doc), bool)
         if len(self.doc):
-            h = self.rolling.spans(self.starts, self.ends)
-            self.same[1:] = (h[1:] == h[:-1]) & (self.doc[1:] == self.doc[:-1])
+            ids = self.words.ids
+            self.same[1:] = (ids[1:] == ids[:-1]) & (self.doc[1:] == self.doc[:-1])
 
     def share(self, flags: np.ndarray) -> np.ndarray:
         return np.bincount(self.doc, flags, len(self.n)) / np.maximum(self.n, 1)
@@ -79,10 +77,6 @@ class _Text:
         d = self.data
         upper, lower = (self.in_words((d >= lo) & (d <= lo + 25)) for lo in (ord("A"), ord("a")))
         count = lambda x: np.bincount(self.doc, x, len(self.n))
-        three = np.flatnonzero(np.r_[self.doc[2:] == self.doc[:-2], [False] * min(2, len(self.doc))])
-        key = self.rolling.spans(self.starts[three], self.ends[np.minimum(three + 2, len(self.ends) - 1)]) ^ mix(self.doc[three].astype(U64) + U64(1))
-        _, back, times = np.unique(key, return_inverse=True, return_counts=True)
-        three = three[times[back] > 1] if len(three) else three
         size = self.ends - self.starts
         measures = (
             self.share(self.in_words(_SYMBOL[d]) > 0),
@@ -90,7 +84,7 @@ class _Text:
             count(upper) / np.maximum(count(upper + lower), 1),
             self.share(d[self.ends - 1] == ord("!")),
             self.share(self.same),
-            self.share(cover(len(self.doc), three, three + 3)),
+            self.share(self.words.repeats(3)),
             self.share(size > 30),
         )
         out = np.stack([np.where(m >= bad, 2, np.where(m <= good, 1, 0)) for m, (_, bad, good) in zip(measures, LABELLERS)], 1)

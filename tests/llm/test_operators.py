@@ -42,6 +42,11 @@ def components(sets, percent):
     return [least[find(k)] if k in set(nodes) else i for k, (i, _) in enumerate(sets)]
 
 
+def thue_morse(n, flip=False):
+    """Words that every polynomial hash modulo 2^64 confuses with the other one from 1,024 letters on."""
+    return "".join("ab"[(k.bit_count() + flip) % 2] for k in range(n))
+
+
 def texts():
     r = random.Random(5)
     word = lambda: "".join(r.choice("abcdeéß") for _ in range(r.randint(1, 6)))
@@ -49,7 +54,7 @@ def texts():
     base, shared = make(120), make(60)
     edited = base.split()
     edited[50] = "changed"
-    return [base, base, " ".join(edited), make(30) + "\n" + shared, shared + "\t" + make(40), None, "", " \n ", "one", "One", make(3000), "x" * 4000, "ab " * 300, make(5) + " <|endoftext|> 　 end", base.upper(), shared + " " + shared]
+    return [base, base, " ".join(edited), make(30) + "\n" + shared, shared + "\t" + make(40), None, "", " \n ", "one", "One", make(3000), "x" * 4000, "ab " * 300, make(5) + " <|endoftext|> 　 end", base.upper(), shared + " " + shared, make(20) + "<|endoftext|>" + make(20)]
 
 
 @pytest.fixture(scope="module")
@@ -73,7 +78,7 @@ def same(found, want):
     assert sorted(map(repr, found)) == sorted(map(repr, want))
 
 
-def test_substring(docs, rows, none):
+def windows_removed(rows):
     words = [(r[0], (r[1] or "").encode().split()) for r in rows]
     count = Counter(tuple(w[k : k + 35]) for _, w in words for k in range(len(w) - 34))
     want = []
@@ -83,12 +88,37 @@ def test_substring(docs, rows, none):
             if count[tuple(w[k : k + 35])] > 1:
                 gone[k : k + 35] = [True] * 35
         want.append((i, len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone) if not g)).hexdigest()))
+    return want
+
+
+def test_substring(docs, rows, none):
+    want = windows_removed(rows)
     same([tuple(r) for r in substring_dedup.digest(docs).collect()], want)
     assert substring_dedup.digest(none).collect() == []
     kept = substring_dedup.remove_repeats(docs)
     assert sum(r.n_removed for r in kept.collect()) == sum(x[2] for x in want)
 
 
+def test_words_alike(spark):
+    """Words that differ and have one polynomial hash: every operator tells them apart."""
+    r = random.Random(9)
+    rows = []
+    for n in (1024, 2048):
+        other = [f"w{r.randint(0, 999)}" for _ in range(60)]
+        rows += [(2 * n + flip, " ".join([*other[:30], thue_morse(n, flip), *other[30:]])) for flip in (False, True)]
+        rows += [(2 * n + 2, " ".join([*other[:2], thue_morse(n), other[3], *other[:2], thue_morse(n, True), other[3]] * 9))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    same([tuple(x) for x in substring_dedup.digest(df).collect()], windows_removed(rows))
+    sets = [(i, shingles(t.encode(), 3)) for i, t in rows]
+    same([(x.doc_id, x.n_shingles, x.component_id) for x in near_dedup.near_duplicates(df, 3, 85, 6, 30).collect()], [(i, len(s), c) for (i, s), c in zip(sets, components(sets, 85))])
+    same([tuple(x)[:7] for x in repetition.judge(df).collect()], repeats(rows))
+    crc = {i: zlib.crc32(np.array([*reference_ids(t), 0], "<u4").tobytes()) for i, t in rows}
+    joined = defaultdict(bytes)
+    for x in sorted(packing.pack(df, queries.tokenizer_path(), with_ids=True).collect(), key=lambda x: x.start):
+        joined[x.doc_id] += bytes(x.ids)
+    assert {i: zlib.crc32(x) for i, x in joined.items()} == crc
+
+
 def test_suffix(docs, rows, none):
     seen, want = set(), []
     for i, t in sorted(((r[0], (r[1] or "").encode()) for r in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1])):
@@ -146,7 +176,6 @@ def reference_ids(t):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(queries.tokenizer_path())
-    tok.encode_special_tokens = True
     return tok.encode(t or "", add_special_tokens=False).ids
 
 
@@ -184,7 +213,7 @@ def test_packing(docs, rows, none):
     assert packing.pack(none, queries.tokenizer_path()).collect() == []
 
 
-def test_repetition(docs, rows, none):
+def repeats(rows):
     want = []
     for i, t, *_ in rows:
         w = (t or "").encode().split()
@@ -195,6 +224,11 @@ def test_repetition(docs, rows, none):
                 flags[k : k + 3] = [True] * 3
         lines = [x for x in (t or "").split("\n") if x.strip(" \t\n\r\x0b\x0c")]
         want.append((i, len(w), sum(len(x.decode()) for x in w), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), sum(flags), len(w) < 50 or 100 * sum(flags) > 50 * len(w)))
+    return want
+
+
+def test_repetition(docs, rows, none):
+    want = repeats(rows)
     found = repetition.judge(docs).collect()
     same([tuple(r)[:7] for r in found], want)
     assert {r.doc_id: r.kept for r in found}[10] and not {r.doc_id: r.kept for r in found}[12]
