@@ -1,15 +1,16 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines: one for each stretch between edges of block elements. A line's length counts its text
-without that of links, times the weight of its place. The lengths are summed over windows of ``window`` lines. A surge
-point is where the sum rises over ``least``, a dive point where it falls to it again; the text between them is kept, but
-for lines of length zero. No line is lifted by neighbours of other places: for the lines of a weight the sums run over
-lines of that weight.
+without that of links (half of it in a paragraph), times the weight of its place. The lengths are summed over windows of
+``window`` lines. A surge point is where the sum rises over a threshold, a dive point where it falls to it again; the text
+between them is kept, but for lines of length zero. The threshold is ``least`` or, outside boilerplate, a quarter of the
+page's largest sum if that is lower, so that short pages have their text. No line is lifted by neighbours of other
+places: for the lines of a weight the sums run over lines of that weight.
 
 Weights: 1 in general. In an element marked as the article (by its name, role or class) up to ``MARKED``, by the square
 of its share of the page's text outside boilerplate, and the text of links counts by that share; small articles, such as
 teasers, thus weigh about as much as any text. In boilerplate (elements such as nav, footer, aside or form, and elements
-whose class, id or role says so) ``BOILERPLATE``. An article inside an element that only its class, id or role calls
+whose class, id or role says so by a whole word) ``BOILERPLATE``; headers inside an article are its own and aren't. An article inside an element that only its class, id or role calls
 boilerplate isn't in boilerplate. An element marked as both is an article if it holds over half of the page's text, else
 boilerplate. Boilerplate with over nine tenths of the text is a wrapper and ignored if no text outside it is in a marked
 article.
@@ -44,6 +45,7 @@ SAYS_BOILER = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adbox|adslot|banner|sponsor(?:ed)?|promo(?:tion)?|sidebar|side-?bar|comments?|disqus|respond|repl(?:y|ies)|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscri(?:be|ption)|signup|login|breadcrumbs?|pagination|pager|menu|nav(?:bar|igation)?|topbar|toolbar|masthead|header|footer|related|recommend(?:ed|ations)?|shar(?:e|ing)|social|widgets?|tags?|toc|skip-?link|copyright|disclaimer|legal|contentinfo|complementary)(?:$|[\s_-]|\d)",
     re.I,
 )
+HEADS = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?=$|[\s_-])", re.I)
 SAYS_ARTICLE = re.compile(r"(?:^|[\s_-])(?:article(?:-?body)?|post-?(?:body|content)|entry-?content|main-?content)(?:$|[\s_-])", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -77,6 +79,8 @@ def lines(page: str) -> list[tuple[str, int, tuple[tuple[int, ...], int, int]]]:
             line.parts.append(raw)
             if not links:
                 line.plain += len(raw)
+            elif any(e[0] == "p" for e in stack):
+                line.plain += (len(raw) + 1) // 2
 
     def close(tag: str) -> None:
         nonlocal hidden, links, place, by_name
@@ -126,8 +130,10 @@ def lines(page: str) -> list[tuple[str, int, tuple[tuple[int, ...], int, int]]]:
         names = " ".join(said.get(k, "") for k in ("class", "id", "role", "itemprop")).strip()
         marked = tag in ("article", "main") or said.get("role", "").lower() in ("main", "article") or bool(names and SAYS_ARTICLE.search(names))
         away = tag in HIDDEN or "hidden" in re.sub(r"\"[^\"]*\"|'[^']*'", "", m[3]).lower().split() or said.get("aria-hidden", "").lower() == "true"
-        said_bad = bool(names and SAYS_BOILER.search(names))
-        bad = tag not in ("html", "body") and (tag in BOILER or said_bad)
+        own = place[1] > 0  # inside an article, whose headers are its own
+        said_bad = bool(names and SAYS_BOILER.search(HEADS.sub(" ", names) if own else names))
+        by_tag = tag in BOILER and not (own and tag == "header")
+        bad = tag not in ("html", "body") and (by_tag or said_bad)
         stack.append((tag, away, place, by_name))
         hidden, links = hidden + away, links + (tag == "a")
         if bad or marked:
@@ -137,7 +143,7 @@ def lines(page: str) -> list[tuple[str, int, tuple[tuple[int, ...], int, int]]]:
                 place = by_name, article or count, count if bad else 0
             else:
                 place = (*boiler, count), article, both
-            if tag in BOILER:
+            if by_tag:
                 by_name = (*by_name, count)
         if tag in BLOCK or bad or marked:
             cut()
@@ -173,14 +179,15 @@ def weighted(found: list[tuple]) -> list[tuple[float, float]]:
 def main_text(page: str | None, window: int = WINDOW, least: int = LEAST) -> str:
     found = [x for x in lines(page or "") if x[0]]
     length = weighted(found)
-    keep = [False] * len(found)
+    keep, sums = [False] * len(found), {}
     for level in {w for w, _ in length}:
         seen = [n if w == level else 0 for w, n in length]
+        sums[level] = [sum(seen[k : k + window]) for k in range(len(seen))]
+    highest = max((x for level, own in sums.items() if level != BOILERPLATE for x in own), default=0)
+    for k, (level, n) in enumerate(length):
         # a line is between surge and dive if a window with it is over the threshold
-        sums = [sum(seen[k : k + window]) for k in range(len(seen))]
-        for k, (w, n) in enumerate(length):
-            if w == level and n:
-                keep[k] = max(sums[max(0, k - window + 1) : k + 1]) > least
+        over = least if level == BOILERPLATE else min(least, highest / 4)
+        keep[k] = n > 0 and max(sums[level][max(0, k - window + 1) : k + 1]) > over
     return "\n\n".join(t for (t, *_), k in zip(found, keep) if k)
 
 

@@ -334,7 +334,20 @@ def test_html_weights():
     assert html_text.main_text(f"<div class='layout with-sidebar'>{article}<aside>x</aside></div>") == f"{long}\n\nend"
     assert html_text.main_text(f"<div class='layout with-sidebar'>{main}</div><footer>f</footer>") == f"{long}\n\n{long}"
     assert html_text.main_text(f"{article}<div id=comments><p>{long}</p></div>") == f"{long}\n\nend"
-    assert html_text.main_text("<article><p>a</p></article>") == "" != html_text.main_text("<article><p>a</p></article>", least=0)
+
+
+def test_html_pages():
+    """Class names count by whole words, an article keeps its headers, and short pages their text."""
+    long, text = ("word " * 60).strip(), html_text.main_text
+    assert text(f"<div class='layout has-sidebar'><article><p>{long}</p></article></div>") == long
+    assert text(f"<div class='no-sidebar'><p>{long}</p><p>{long}</p></div>") == f"{long}\n\n{long}"
+    assert text(f"<article><header><h1>Title</h1></header><p>{long}</p></article>") == f"Title\n\n{long}"
+    assert text(f"<article><div class='post-header'><h2>Title</h2></div><p>{long}</p></article>") == f"Title\n\n{long}"
+    assert text(f"<section><article><p>{long}</p><p>{long}</p></article><article class='comment'><p>{long}</p></article></section>") == f"{long}\n\n{long}"
+    assert text("<html><body><p>One short line.</p></body></html>") == "One short line."
+    assert text("<body><nav><a>x</a></nav><p>a</p><p>b</p><footer>f</footer></body>") == "a\n\nb"
+    assert text(f"<div><p>{long}</p><p><a href=x>A paragraph of one link</a></p><p>{long}</p></div>") == f"{long}\n\nA paragraph of one link\n\n{long}"
+    assert text(f"<header><p>{long[:60]}</p></header><div><p>{long}</p></div>") == long
 
 
 def test_pipeline(spark, docs, none):
