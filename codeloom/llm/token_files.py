@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import shuffle_parts
+from codeloom.llm.common import corpus_bytes, shuffle_parts
 from codeloom.llm.tokens import encoder
 
 NULL_ID = -(1 << 63)
 SHARD = "shard int, path string, docs long, ids long, bits int"
 ROWS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
-READ_DOCS = 4096
+READ_DOCS, SHARD_BYTES = 4096, 256 << 20  # documents read at a time, bytes of text a shard
 
 
 def filesystem(uri: str):
@@ -44,7 +44,7 @@ def filesystem(uri: str):
 
 def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2) -> list[dict]:
     """Encode and write; the manifest in shard order, with ``base`` (ids before the shard)."""
-    parts = shuffle_parts(docs.sparkSession)
+    parts = max(shuffle_parts(docs.sparkSession), corpus_bytes(docs)[1] // SHARD_BYTES + 1)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("turn", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "turn").sortWithinPartitions("doc_id", "turn")
 
