@@ -6,8 +6,10 @@ documents as often as its target holds its size (whole repetitions), and once mo
 whose sizes fill the rest (fractional repetition); the document at the edge is taken in part, so a source meets its
 target to the word.
 
-The edge is found by histograms of the hash, refined for each source until its bin is small, so no task ever holds a
-source. The driver holds one number a source: their list must fit it (``most_sources``, an error beyond).
+Sources are a table throughout: their turn in code point order comes from a range sort and the counts of its partitions,
+the water level from sums over the table, round by round, and only the level (two integers) comes to the driver. The edge
+is found by histograms of the hash, refined for each source until its bin is small, so no task ever holds a source, and
+joins on a source and a bin spread a hot source.
 
 Defined cases: a null or empty text has size 0 and is never taken; a null source is a source, last in order; a source
 of size 0 has target 0; rows that repeat a doc_id count one by one; an empty table gives an empty result; the result
@@ -16,85 +18,96 @@ of ``plan`` has its own columns only, that of ``mix`` the columns of its input,
 
 from __future__ import annotations
 
-from fractions import Fraction
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import WORD, cut
-
-BITS, SMALL, LEVELS = 12, 20_000, 5
-
-
-def water_fill(sizes: list[int], weights: list[int], most_epochs: int = 3) -> list[Fraction]:
-    """The targets, exactly."""
-    left, target = Fraction(sum(sizes)), [Fraction(0)] * len(sizes)
-    free = list(range(len(sizes)))
-    while free:
-        unit = left / sum(weights[k] for k in free)
-        over = [k for k in free if weights[k] * unit > most_epochs * sizes[k]]
-        for k in over or free:
-            target[k] = Fraction(most_epochs * sizes[k]) if over else weights[k] * unit
-        if not over:
-            break
-        left -= sum(target[k] for k in over)
-        free = [k for k in free if weights[k] * unit <= most_epochs * sizes[k]]
-    return target
+from codeloom.llm.common import WORD, cut, shuffle_parts
+
+#: Bits of a draw, bits that a round of histograms refines, and rows of a source's edge bin that are small enough.
+DRAW, BITS, SMALL = 60, 12, 20_000
+
+
+def water_level(sources: DataFrame, most_epochs: int) -> tuple[int, int]:
+    """sources: s (size) and w (weight). The level as a fraction: a source's target is the lesser of its cap and its weight
+    times the level. Sources over their cap stay so when the level rises, so each round adds to them until none is new."""
+    clamped, total, level = None, None, (0, 1)
+    while True:
+        above = F.lit(most_epochs) * F.col("s") * F.lit(level[1]) < F.col("w") * F.lit(level[0])
+        got = sources.agg(F.sum("s").alias("s"), F.sum("w").alias("w"), F.coalesce(F.sum(F.when(above, F.col("s"))), F.lit(0)).alias("over"), F.coalesce(F.sum(F.when(above, F.col("w"))), F.lit(0)).alias("heavy"), F.count(F.when(above, 1)).alias("n")).first()
+        if got.s is None or got.n == clamped or got.w == got.heavy:
+            return level
+        total, clamped = int(got.s), got.n
+        level = (total - most_epochs * int(got.over), int(got.w) - int(got.heavy))
+
+
+def _numbered(sources: DataFrame) -> DataFrame:
+    """sources with turn, the number of a source in code point order, null last."""
+    order = F.col("source").asc_nulls_last()
+    parts = cut(sources.repartitionByRange(shuffle_parts(sources.sparkSession), order).withColumn("part", F.spark_partition_id()))
+    counts = parts.groupBy("part").count()
+    before = F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return parts.join(counts.withColumn("before", before), "part").withColumn("turn", F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1).drop("part", "count", "before")
+
+
+def _targets(sizes: DataFrame, weights: tuple[int, ...], most_epochs: int) -> DataFrame:
+    """sizes: source, s. name, source_size, target, whole (repetitions of all its documents) and rest (words beyond)."""
+    exact = lambda c: F.col(c).cast("decimal(38,0)")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("turn") % len(weights) + 1).cast("int"))
+    sources = cut(_numbered(sizes).withColumn("w", weight.cast("long")))
+    left, heavy = water_level(sources.select(F.col("s").cast("decimal(18,0)").alias("s"), F.col("w").cast("decimal(4,0)").alias("w")), most_epochs)
+    clamped = exact("s") * F.lit(most_epochs) * F.lit(heavy) < F.col("w") * F.lit(left)
+    due = sources.select(F.col("source").alias("name"), F.col("s").alias("source_size"), "w", (clamped | (F.col("s") == 0)).alias("clamped"), F.lit(left).cast("long").alias("left"), F.lit(heavy).cast("long").alias("heavy"))
+    due = due.withColumn("floor", F.expr("(w * left) div heavy")).withColumn("over", F.expr("(w * left) % heavy"))
+    up = F.expr("CASE WHEN 2 * over > heavy OR (2 * over = heavy AND floor % 2 = 1) THEN 1 ELSE 0 END")
+    due = due.withColumn("whole", F.expr(f"CASE WHEN clamped THEN {most_epochs} ELSE CAST(w * left AS DECIMAL(38,0)) div (CAST(heavy AS DECIMAL(19,0)) * source_size) END").cast("long"))
+    target = F.when(F.col("clamped"), (F.col("source_size") * most_epochs).cast("double")).otherwise((F.col("w") * F.col("left")).cast("double") / F.col("heavy").cast("double"))
+    rest = F.when(F.col("clamped"), F.lit(0)).otherwise(F.greatest(F.lit(0), F.least("source_size", F.col("floor") + up - F.col("whole") * F.col("source_size"))))
+    return cut(due.select("name", "source_size", target.alias("target"), "whole", rest.cast("long").alias("rest")))
 
 
 def _top(bits: int) -> Column:
-    return F.shiftrightunsigned("draw", 64 - bits) if bits else F.lit(0).cast("long")
+    return F.shiftright("draw", DRAW - bits)
 
 
-def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_epochs: int = 3, seed: int = 17, most_sources: int = 1_000_000) -> DataFrame:
+def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_epochs: int = 3, seed: int = 17) -> DataFrame:
     """docs is given as doc_id, source, text; per document: doc_id, size, source_size, target, taken."""
     row = docs.select(F.struct("doc_id").alias("row"), "doc_id", "source", "text")
-    return _planned(row, weights, most_epochs, seed, most_sources, True).select("doc_id", "size", "source_size", "target", "taken")
+    return _planned(row, weights, most_epochs, seed, True).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_epochs: int = 3, seed: int = 17, most_sources: int = 1_000_000) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_epochs: int = 3, seed: int = 17) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of docs; the edge document of a source
     is taken whole if at least half of it is due."""
     row = docs.select(F.struct("*").alias("row"), "doc_id", "source", "text")
     times = F.floor((F.col("taken") + F.col("size") / 2) / F.col("size")).cast("int")
-    got = _planned(row, weights, most_epochs, seed, most_sources).filter("size > 0").withColumn("times", times).filter("times > 0")
+    got = _planned(row, weights, most_epochs, seed).filter("size > 0").withColumn("times", times).filter("times > 0")
     return got.select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
 
 
-def _planned(rows: DataFrame, weights: tuple[int, ...], most_epochs: int, seed: int, most_sources: int, slim_only: bool = False) -> DataFrame:
-    spark = rows.sparkSession
+def _planned(rows: DataFrame, weights: tuple[int, ...], most_epochs: int, seed: int, slim_only: bool = False) -> DataFrame:
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = rows.select("row", "doc_id", "source", size.alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw"))
+    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "doc_id", "text")), 1, DRAW // 4), 16, 10).cast("long")
+    sized = rows.select("row", "doc_id", "source", size.alias("size"), draw.alias("draw"))
     slim = cut(sized.drop("row"))  # words are counted once for the plan
     sized = slim if slim_only else sized
-    sums = slim.groupBy("source").agg(F.sum("size").alias("s")).limit(most_sources + 1).collect()
-    if len(sums) > most_sources:
-        raise ValueError(f"more than {most_sources} sources")
-    sums.sort(key=lambda r: (r.source is None, r.source or ""))
-    sizes = [r.s for r in sums]
-    target = water_fill(sizes, [weights[k % len(weights)] for k in range(len(sums))], most_epochs)
-    whole = [int(t / s) if s else 0 for t, s in zip(target, sizes)]
-    rest = [round(t) - w * s for t, w, s in zip(target, whole, sizes)]
-    state = [(r.source, s, float(t), w, max(0, min(x, s)), 0, 0) for r, s, t, w, x in zip(sums, sizes, target, whole, rest)]
-    columns = "name string, source_size long, target double, whole long, rest long, edge long, below long"
-
-    def known(state: list[tuple]) -> DataFrame:
-        return F.broadcast(spark.createDataFrame(state, columns))  # one row a source, bounded above
-
-    bits = 0
-    while state and bits < BITS * LEVELS:
-        here = slim.join(known(state), F.col("source").eqNullSafe(F.col("name"))).filter(_top(bits) == F.col("edge"))
+    state = _targets(slim.groupBy("source").agg(F.sum("size").alias("s")), weights, most_epochs)
+    mine = F.col("source").eqNullSafe(F.col("name"))
+    # edge: the bin in which a source's rest ends, or the one after the last; below: words in the bins before it
+    state, bits = state.withColumn("edge", F.lit(0).cast("long")).withColumn("below", F.lit(0).cast("long")), 0
+    while bits < DRAW:
+        here = slim.withColumn("at", _top(bits))
         bits += BITS
-        bins = here.groupBy("name", "below", "rest", _top(bits).alias("bin")).agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n"))
+        bins = here.groupBy("source", "at", _top(bits).alias("bin")).agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n"))
+        bins = bins.join(state, mine & (F.col("at") == F.col("edge")))
         upto = F.col("below") + F.sum("s").over(Window.partitionBy("name").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
-        edges = bins.withColumn("upto", upto).filter("upto > rest").groupBy("name").agg(F.min(F.struct("bin", (F.col("upto") - F.col("s")).alias("below"), "n")).alias("e"))
-        edge = {r.name: r.e for r in edges.collect()}
-        last = (1 << bits) - 1
-        # a source with nothing beyond the edge (rest = its whole size) has its edge after the last bin
-        state = [(*s[:5], edge[s[0]].bin, edge[s[0]].below) if s[0] in edge else (*s[:5], last + 1, s[4]) for s in state]
-        if max((e.n for e in edge.values()), default=0) <= SMALL:
+        edges = bins.withColumn("upto", upto).filter("upto > rest").groupBy("name").agg(F.min(F.struct("bin", (F.col("upto") - F.col("s")).alias("before"), "n")).alias("e"))
+        edges = edges.select(F.col("name").alias("edge_name"), "e.*")
+        found = state.join(edges, F.col("name").eqNullSafe(F.col("edge_name")), "left")
+        state = cut(found.select("name", "source_size", "target", "whole", "rest", F.coalesce("bin", F.lit(1 << bits)).alias("edge"), F.coalesce("before", "rest").alias("below"), F.coalesce("n", F.lit(0)).alias("n")))
+        if (state.agg(F.max("n")).first()[0] or 0) <= SMALL:
             break
-    placed = sized.join(known(state), F.col("source").eqNullSafe(F.col("name"))) if state else sized.join(known([(None, 0, 0.0, 0, 0, 0, 0)]), F.lit(False))
+        state = state.drop("n")
+    placed = sized.join(state.drop("n"), mine)
     top = _top(bits)
     clear = placed.filter(top != F.col("edge")).withColumn("more", F.when(top < F.col("edge"), F.col("size")).otherwise(F.lit(0)))
     upto = F.sum("size").over(Window.partitionBy("name").orderBy("draw", F.col("doc_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -268,22 +269,48 @@ def test_topk_repeated_queries(spark):
     same(search([vectors[0], (0, extra), *vectors[:50]]), once + other)
 
 
-def test_mixing(docs, rows, none):
-    found = mixing.plan(docs).collect()
-    same(found, mixing.plan(docs).collect())
-    assert len(found) == len(rows) and all(0 <= r.taken <= 3 * r.size for r in found)
-    by = defaultdict(list)
-    for r in found:
-        by[r.target].append(r)
-    assert abs(sum(by) - sum(r.size for r in found)) < 1e-6
-    for target, part in by.items():
-        assert abs(sum(r.taken for r in part) - target) <= 1
-    assert mixing.mix(docs).columns == docs.columns
-    assert mixing.plan(none).collect() == [] and mixing.mix(none).collect() == []
+def mixed(rows, weights=(1, 2, 3), epochs=3):
+    """(doc_id, size, source_size, target, taken) by exact fractions."""
+    size = [len((r[1] or "").encode().split()) for r in rows]
+    names = sorted({r[3] for r in rows}, key=lambda x: (x is None, x or ""))
+    total = {n: sum(s for r, s in zip(rows, size) if r[3] == n) for n in names}
+    weight = {n: weights[k % len(weights)] for k, n in enumerate(names)}
+    free, target, left = set(names), {}, Fraction(sum(size))
+    while free:
+        unit = left / sum(weight[n] for n in free)
+        over = {n for n in free if weight[n] * unit > epochs * total[n]}
+        for n in over or free:
+            target[n] = Fraction(epochs * total[n]) if over else weight[n] * unit
+        left -= sum(target[n] for n in over)
+        free = free - over if over else set()
+    want = []
+    for n in names:
+        mine = [(int(hashlib.md5("|".join(["17", *(str(x) for x in (r[0], r[1]) if x is not None)]).encode()).hexdigest()[:15], 16), r[0] is not None, r[0] or 0, s) for r, s in zip(rows, size) if r[3] == n]
+        whole = int(target[n] / total[n]) if total[n] else 0
+        rest = round(target[n]) - whole * total[n]
+        for _, some, i, s in sorted(mine):
+            more = max(0, min(s, rest))
+            rest -= s
+            want.append((i if some else None, s, total[n], float(target[n]), whole * s + more))
+    return want
 
 
-def test_water_fill():
-    assert [float(x) for x in mixing.water_fill([1, 10, 10], [10, 1, 1])] == [3, 9, 9]
+def test_mixing(spark, docs, rows, none, monkeypatch):
+    same([tuple(r) for r in mixing.plan(docs).collect()], mixed(rows))
+    assert mixing.mix(docs).columns == docs.columns
+    assert mixing.plan(none).collect() == [] and mixing.mix(none).collect() == []
+    r = random.Random(12)
+    many = [(k, "w " * r.randint(0, 40) or None, None, f"s{int(r.random() ** 3 * 30):02d}") for k in range(2000)]
+    monkeypatch.setattr(mixing, "SMALL", 3)  # several rounds of histograms
+    found = mixing.plan(spark.createDataFrame(many, "doc_id long, text string, lang string, source string")).collect()
+    same([tuple(r) for r in found], mixed(many))
+    assert all(r.taken <= 3 * r.size for r in found)
+
+
+@pytest.mark.parametrize("sizes,weights,want", [([1, 10, 10], (10, 1, 1), [3, 9, 9]), ([0, 0], (1, 2), [0, 0]), ([5], (2,), [5]), ([0, 7], (1, 1), [0, 7])])
+def test_targets(spark, sizes, weights, want):
+    found = mixing._targets(spark.createDataFrame([(f"s{k}", s) for k, s in enumerate(sizes)], "source string, s long"), weights, 3)
+    assert [r.target for r in found.orderBy("name").collect()] == want
 
 
 def test_quality(spark, docs, none):
