@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import common, html_text, mixing, near_dedup, packing, quality_model, repetition, substring_dedup, suffix_dedup, token_files, topk
+from codeloom.llm import common, html_text, mixing, near_dedup, oracles, packing, quality_model, repetition, substring_dedup, suffix_dedup, token_files, topk
 
 
 def tokenizer_path() -> str:
@@ -73,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
