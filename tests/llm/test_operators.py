@@ -256,6 +256,16 @@ def test_topk(spark):
         want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:5])]
     same([tuple(x) for x in topk.search(df).collect()], want)
     assert topk.search(df.limit(0)).collect() == []
+    same([tuple(x) for x in topk.search(df.selectExpr("*", "1 AS query", "2 AS rank", "3 AS block"), block=2).collect()], want)
+
+
+def test_topk_large_scores(spark):
+    """Components beyond the exact range of doubles, repeated candidates and ties."""
+    vectors = [(50, [3.0e6, -2.0e6]), (1, [4.0e7, 1.0e6]), (2, [4.0e7, 1.0e6]), (2, [4.0e7, 1.0e6]), (3, [-1.0, 5.0e7]), *((100 + k, [1.0, 1.0]) for k in range(1, 9))]
+    whole = {i: [int(x * 256) for x in v] for i, v in vectors}
+    scores = sorted((-sum(a * b for a, b in zip(whole[50], whole[i])), i) for i, _ in vectors if i != 50)
+    want = [(50, n + 1, i, -s) for n, (s, i) in enumerate(scores[:5])]
+    same([tuple(x) for x in topk.search(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), every=50).filter("query_id = 50").collect()], want)
 
 
 def test_topk_repeated_queries(spark):
