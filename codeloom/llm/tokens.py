@@ -19,7 +19,7 @@ from codeloom.llm.common import numbered, utf8
 _OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-MOST_CHUNKS, STEP_BYTES, JOINED = 1_000_000, 2 << 20, 256
+MOST_CHUNKS, STEP_BYTES, JOINED = 1 << 18, 1 << 20, 256
 
 
 class Encoder:
