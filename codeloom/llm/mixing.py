@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import WORD, cut, shuffle_parts
+from codeloom.llm.common import WORD, Tables, cut, shuffle_parts
 
 #: Bits of a draw, bits that a round of histograms refines, and rows of a source's edge bin that are small enough.
 DRAW, BITS, SMALL = 60, 12, 20_000
@@ -49,7 +49,7 @@ def _numbered(sources: DataFrame) -> DataFrame:
     return parts.join(counts.withColumn("before", before), "part").withColumn("turn", F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1).drop("part", "count", "before")
 
 
-def _targets(sizes: DataFrame, weights: tuple[int, ...], most_epochs: int) -> DataFrame:
+def _targets(sizes: DataFrame, weights: tuple[int, ...], most_epochs: int, keep=cut) -> DataFrame:
     """sizes: source, s. name, source_size, target, whole (repetitions of all its documents) and rest (words beyond)."""
     exact = lambda c: F.col(c).cast("decimal(38,0)")
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("turn") % len(weights) + 1).cast("int"))
@@ -62,7 +62,7 @@ def _targets(sizes: DataFrame, weights: tuple[int, ...], most_epochs: int) -> Da
     due = due.withColumn("whole", F.expr(f"CASE WHEN clamped THEN {most_epochs} ELSE CAST(w * left AS DECIMAL(38,0)) div (CAST(heavy AS DECIMAL(19,0)) * source_size) END").cast("long"))
     target = F.when(F.col("clamped"), (F.col("source_size") * most_epochs).cast("double")).otherwise((F.col("w") * F.col("left")).cast("double") / F.col("heavy").cast("double"))
     rest = F.when(F.col("clamped"), F.lit(0)).otherwise(F.greatest(F.lit(0), F.least("source_size", F.col("floor") + up - F.col("whole") * F.col("source_size"))))
-    return cut(due.select("name", "source_size", target.alias("target"), "whole", rest.cast("long").alias("rest")))
+    return keep(due.select("name", "source_size", target.alias("target"), "whole", rest.cast("long").alias("rest")))
 
 
 def _top(bits: int) -> Column:
@@ -90,7 +90,8 @@ def _planned(rows: DataFrame, weights: tuple[int, ...], most_epochs: int, seed:
     sized = rows.select("row", "doc_id", "source", size.alias("size"), draw.alias("draw"))
     slim = cut(sized.drop("row"))  # words are counted once for the plan
     sized = slim if slim_only else sized
-    state = _targets(slim.groupBy("source").agg(F.sum("size").alias("s")), weights, most_epochs)
+    keep = Tables(rows.sparkSession).keep  # files, whose size lets Spark send a small table of sources to all tasks
+    state = _targets(slim.groupBy("source").agg(F.sum("size").alias("s")), weights, most_epochs, keep)
     mine = F.col("source").eqNullSafe(F.col("name"))
     # edge: the bin in which a source's rest ends, or the one after the last; below: words in the bins before it
     state, bits = state.withColumn("edge", F.lit(0).cast("long")).withColumn("below", F.lit(0).cast("long")), 0
@@ -103,7 +104,7 @@ def _planned(rows: DataFrame, weights: tuple[int, ...], most_epochs: int, seed:
         edges = bins.withColumn("upto", upto).filter("upto > rest").groupBy("name").agg(F.min(F.struct("bin", (F.col("upto") - F.col("s")).alias("before"), "n")).alias("e"))
         edges = edges.select(F.col("name").alias("edge_name"), "e.*")
         found = state.join(edges, F.col("name").eqNullSafe(F.col("edge_name")), "left")
-        state = cut(found.select("name", "source_size", "target", "whole", "rest", F.coalesce("bin", F.lit(1 << bits)).alias("edge"), F.coalesce("before", "rest").alias("below"), F.coalesce("n", F.lit(0)).alias("n")))
+        state = keep(found.select("name", "source_size", "target", "whole", "rest", F.coalesce("bin", F.lit(1 << bits)).alias("edge"), F.coalesce("before", "rest").alias("below"), F.coalesce("n", F.lit(0)).alias("n")))
         if (state.agg(F.max("n")).first()[0] or 0) <= SMALL:
             break
         state = state.drop("n")
