@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import time
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom import parsers
-from codeloom.functions.fixed import MAX_TOKENS
+from codeloom.functions.fixed import CARGO_FRAMEWORKS, FRAMEWORKS, LANGUAGE_NAMES, MAX_TOKENS, PACKAGE_MANAGERS
 from codeloom.operators import history, indexing, lookup
 from codeloom.parsers.skeleton import stats as skeleton_stats
 from codeloom.plans import package
@@ -73,15 +74,17 @@ class Project:
         return rows(lookup.files_like(g, term, max(1, min(500, limit))) if files else lookup.search(g, term, kind, limit))
 
     def symbol(self, name: str) -> list[dict]:
+        """All symbols that a name means (at most 200), each with its members, references and dependencies."""
         g = self.graph()
         found = rows(lookup.resolve_symbol(g, name))
-        out = []
-        for s in found[:20]:
-            owner = s["parent"] or s["name"]
-            file_id = g.files.filter(F.col("path") == s["path"]).first().id
-            s["members"] = rows(lookup.symbols_where(g, file_id=file_id, parent=owner, kind=["method", "field"]))
-            s["references"] = rows(lookup.references(g, s["name"]).orderBy("path"))
-            out.append(s)
+        out = [{"name": s["name"], "kind": s["kind"], "signature": s["signature"], "file": s["path"], "line": s["start_line"], "methods": [], "references": [], "dependencies": []} for s in found]
+        place = {s["id"]: k for k, s in enumerate(found)}
+        if found:
+            wanted = self.spark.createDataFrame([(s["id"], s["file_id"], s["name"], s["parent"]) for s in found], "id long, file_id long, name string, parent string")
+            order = {"methods": ("start_line", "member"), "references": ("path", "imported_symbol"), "dependencies": ("path", "imported_symbol")}
+            for kind, df in lookup.details(g, wanted).items():
+                for r in rows(df.orderBy(*order[kind])):
+                    out[place[r.pop("id")]][kind].append(r if kind == "methods" else [r["path"], r["imported_symbol"]])
         return out
 
     def _file(self, name: str):
@@ -115,8 +118,9 @@ class Project:
             changed = [(c.path,) for c in Repository(self.root).changes()]
         except Exception:  # not a repository, or no git: no file counts as changed
             changed = []
-        changes = self.spark.createDataFrame(changed, "path string") if changed else None
-        return package.build_context(g, task, sources, max_tokens or config["max_tokens"], config["max_files"], changes)
+        recent = [(path,) for path, _, _, mtime in scan.walk(self.root, scan.load_config(self.root)["index"]["exclude"]) if mtime > int(self.store.built())]
+        changes, late = (self.spark.createDataFrame(x, "path string") if x else None for x in (changed, recent))
+        return package.build_context(g, task, sources, max_tokens or config["max_tokens"], config["max_files"], changes, late)
 
     def skeleton(self, path: str) -> dict:
         path = self.inside(path)
@@ -126,12 +130,25 @@ class Project:
         with open(f"{self.root}/{path}", encoding="utf-8", errors="replace") as f:
             text = f.read()
         short = parsers.skeleton(parsers.Outline(text, language))
-        return {"path": path, "skeleton": short, "stats": skeleton_stats(text, short)}
+        return {"path": path, "language": language, "skeleton": short, "stats": skeleton_stats(text, short)}
+
+    def repository(self) -> Repository | None:
+        try:
+            return Repository(self.root)
+        except Exception:  # not a repository, or no git
+            return None
+
+    def sync(self) -> dict | None:
+        """Brings an index up to date with the files that version control calls changed."""
+        repository = self.repository()
+        return indexing.sync_changed(self.spark, repository, self.root, self.store) if repository and self.store.versions() else None
 
     def changed(self, ref: str | None = None) -> list[dict]:
+        self.sync()
         return rows(history.symbol_diff(self.spark, Repository(self.root), ref)[1].orderBy("path", "line"))
 
-    def diff(self, base: str, head: str | None = None) -> dict:
+    def diff(self, base: str | None = "HEAD", head: str | None = None) -> dict:
+        base = base or "HEAD"
         changes, symbols, large = history.symbol_diff(self.spark, Repository(self.root), base, head)
         found = rows(symbols)
         touched = {s["path"] for s in found} | {c.path for c in changes if c.status in "AD"}
@@ -145,16 +162,60 @@ class Project:
         size = self.store.size()
         return {"root": self.root, "files": g.files.count(), "symbols": g.symbols.count(), "dependencies": g.dependencies.count(), "index_bytes": size, "index_size": human_bytes(size), "languages": languages}
 
+    def summary(self) -> dict:
+        """Root, version control and counts."""
+        repository, out = self.repository(), self.stats()
+        return {"root": self.root, "git": repository is not None, "git_root": repository.root if repository else None, **{k: out[k] for k in ("files", "symbols", "dependencies", "languages")}}
+
     def doctor(self) -> dict:
+        """Status (NOT_INITIALIZED, CORRUPT, CONFIG, STALE or READY) with what it rests on, and warnings."""
+        warnings, config_ok, repository = [], True, self.repository()
         try:
             scan.load_config(self.root)
         except Exception as error:
-            return {"status": "CONFIG", "warnings": [f"invalid configuration: {error}"]}
+            config_ok = False
+            warnings.append(f"could not read {FOLDER}/config.toml: {error}; using defaults")
+        begun = bool(self.store.versions())
+        if begun and not os.path.exists(f"{self.root}/{FOLDER}/config.toml"):
+            warnings.append(f"{FOLDER}/config.toml missing; using defaults - run init to rewrite it")
+        index, database, languages = {"initialized": begun, "fresh": not begun}, None, []
+        if begun:
+            try:
+                database = indexing.integrity(self.store)
+                found = indexing.freshness(self.spark, self.root, self.store, None if config_ok else scan.DEFAULTS)
+                g = self.store.graph()
+                index |= {"fresh": found["status"] == "READY", "files": g.files.count(), "symbols": g.symbols.count(), "dependencies": g.dependencies.count(), "stale_files": found["check"] + found["deleted"], "unindexed_files": found["new"]}
+                languages = [r.language for r in g.files.select("language").distinct().collect()]
+                if not database["healthy"]:
+                    warnings.append("the index has rows without their files; run init --force to rebuild it")
+            except Exception as error:
+                database = {"healthy": False, "schema_version": 0}
+                warnings.append(f"could not read the index: {str(error)[:300]}; run init --force to rebuild it")
+        else:
+            languages = [LANGUAGE_NAMES[x] for x in {language for _, language, _, _ in scan.walk(self.root)}]
+        corrupt = database is not None and database["schema_version"] == 0
+        status = "NOT_INITIALIZED" if not begun else "CORRUPT" if corrupt else "CONFIG" if not config_ok else "READY" if index["fresh"] else "STALE"
+        if status == "STALE":
+            warnings.append("run init to bring the index up to date")
+        return {"root": self.root, "git": repository is not None, "git_root": repository.root if repository else None, "languages": sorted(languages), "framework": self.framework(), "package_manager": next((v for k, v in PACKAGE_MANAGERS.items() if os.path.isfile(f"{self.root}/{k}")), None),
+                "index": index, "database": database, "parser_support": [{"language": x, "supported": True} for x in LANGUAGE_NAMES.values()], "status": status, "warnings": warnings}
+
+    def framework(self) -> str | None:
+        """Named by package.json, or else by Cargo.toml."""
+        if os.path.isfile(f"{self.root}/package.json"):
+            try:
+                with open(f"{self.root}/package.json", encoding="utf-8") as f:
+                    found = json.load(f)
+                names = {n for k in ("dependencies", "devDependencies") if isinstance(found.get(k), dict) for n in found[k]}
+            except (OSError, ValueError, AttributeError):
+                return None
+            return next((v for k, v in FRAMEWORKS.items() if k in names), None)
         try:
-            out = indexing.freshness(self.spark, self.root, self.store)
-        except Exception as error:
-            return {"status": "CORRUPT", "warnings": [f"unreadable index: {error}"[:500]]}
-        return {**out, "warnings": [] if out["status"] == "READY" else ["run init to bring the index up to date"]}
+            with open(f"{self.root}/Cargo.toml", encoding="utf-8", errors="replace") as f:
+                text = f.read()
+        except OSError:
+            return None
+        return next((v for k, v in CARGO_FRAMEWORKS.items() if f"{k} " in text or f"\n{k}=" in text), None)
 
     def schema(self) -> str:
         return ddl()
@@ -167,4 +228,5 @@ class Project:
             return time.perf_counter() - began
 
         opened = sorted(clock(self.store.graph) for _ in range(3))
-        return {"open": opened[len(opened) // 2], "index": clock(lambda: self.init(True)), "stats": clock(self.stats), "search": clock(lambda: self.search("main", limit=10)), "context": clock(lambda: self.context("main entry point"))}
+        return {"open": opened[len(opened) // 2], "index": clock(lambda: self.init(True)), "stats": clock(self.stats), "search": clock(lambda: self.search("main", limit=10)), "context": clock(lambda: self.context("main entry point")),
+                "skeletons": sum(clock(lambda path=r.path: self.skeleton(path)) for r in self.graph().files.orderBy("path").limit(5).collect())}

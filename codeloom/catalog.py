@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,12 +10,13 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
 from codeloom.functions.fixed import FRAMEWORK_DIRECTORIES, STOP_WORDS
-from codeloom.operators import index, lookup, resolution
+from codeloom.operators import index, indexing, lookup, resolution
 from codeloom.parsers import parse_sources
 from codeloom.plans import context, package
 from codeloom.sources import bindings
 
-KEYWORDS = ["user", "order", "furniture", "models", "report"]
+#: The numbers are words of one symbol and one path each, so that files reach the score of a root.
+KEYWORDS = ["user", "order", "furniture", "models", "report", "117", "101"]
 EXCLUDES = ["vendor", "tests/"]
 START, HUB = 7, 0
 
@@ -89,21 +91,21 @@ def _star(name: str, make: Callable[[bindings.Graph], DataFrame], sql: str, ctes
     _add(name, lambda s, d: make(bindings.star(s, d)), f"WITH {'RECURSIVE ' * recursive}{ctes} {sql}")
 
 
-def _ranked(name: str, make: Callable[[bindings.Graph, dict], DataFrame], sql: str) -> None:
+def _ranked(name: str, make: Callable[[bindings.Graph, dict], DataFrame], sql: str, recursive: bool = False) -> None:
     def run(s: SparkSession, d: str) -> DataFrame:
         g = bindings.star(s, d)
         return make(g, context.weights(g, KEYWORDS))
 
-    _add(name, run, f"WITH {_ALL} {sql}")
+    _add(name, run, f"WITH {'RECURSIVE ' * recursive}{_ALL} {sql}")
 
 
 def _r(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 6) for n in names})
 
 
-_star("search_symbols", lambda g: lookup.search(g, "buildinguser"), "SELECT s.id, name, kind, start_line, path, concat_ws('.', parent, name) AS display FROM (SELECT * FROM symbols WHERE name ILIKE '%buildinguser%' ORDER BY start_line, id LIMIT 50) s JOIN files f ON f.id = file_id")
-_star("search_kind", lambda g: lookup.search(g, "order", "fn", 30), "SELECT s.id, name, kind, start_line, path, concat_ws('.', parent, name) AS display FROM (SELECT * FROM symbols WHERE name ILIKE '%order%' AND kind = 'function' ORDER BY start_line, id LIMIT 30) s JOIN files f ON f.id = file_id")
-_star("files_like", lambda g: lookup.files_like(g, "models/", 20), "SELECT id, path, size FROM files WHERE path ILIKE '%models/%' ORDER BY path LIMIT 20")
+_star("search_symbols", lambda g: lookup.search(g, "buildinguser"), "SELECT s.id, name, kind, parent, signature, start_line, path, path AS file, concat_ws('.', parent, name) AS display FROM (SELECT * FROM symbols WHERE name ILIKE '%buildinguser%' ORDER BY start_line, id LIMIT 50) s JOIN files f ON f.id = file_id")
+_star("search_kind", lambda g: lookup.search(g, "order", "fn", 30), "SELECT s.id, name, kind, parent, signature, start_line, path, path AS file, concat_ws('.', parent, name) AS display FROM (SELECT * FROM symbols WHERE name ILIKE '%order%' AND kind = 'function' ORDER BY start_line, id LIMIT 30) s JOIN files f ON f.id = file_id")
+_star("files_like", lambda g: lookup.files_like(g, "models/", 20), "SELECT id, path, language, size FROM files WHERE path ILIKE '%models/%' ORDER BY path LIMIT 20")
 _star("stats", lambda g: g.files.agg(F.count(F.lit(1)).alias("files")).crossJoin(g.symbols.agg(F.count(F.lit(1)).alias("symbols"))).crossJoin(g.dependencies.agg(F.count(F.lit(1)).alias("dependencies"))), "SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM symbols) AS symbols, (SELECT count(*) FROM deps) AS dependencies")
 _star("symbols_of_file", lambda g: lookup.symbols_where(g, file_id=START), f"SELECT id, name, kind, parent, start_line FROM symbols WHERE file_id = {START}")
 _star("symbols_by_name", lambda g: lookup.symbols_where(g, 10, name="BuildingUser4"), "SELECT id, name, kind, parent, start_line FROM symbols WHERE name = 'BuildingUser4' ORDER BY start_line, id LIMIT 10")
@@ -122,16 +124,24 @@ _star("framework_bonus", lambda g: g.files.select("path", T.framework_bonus(F.co
 _star("impact_bfs", lambda g: lookup.reachable(g, START, 3), f"SELECT id, distance FROM seen WHERE distance > 0", f"{STAR}, {_BFS}", True)
 _star("impact_buckets", lambda g: lookup.impact(g, START), f"SELECT path, distance, CASE WHEN {_TEST} THEN 'tests' WHEN distance = 1 THEN 'direct' ELSE 'indirect' END AS bucket, (SELECT count(*) FROM symbols WHERE file_id = seen.id) AS symbols FROM seen JOIN files ON files.id = seen.id WHERE distance > 0", f"{STAR}, {_BFS}", True)
 _star("impact_unknown", lambda g: lookup.unknown(g, START), "SELECT source AS source_file_id, count(*) AS unresolved FROM deps JOIN seen ON source = id WHERE target IS NULL GROUP BY source", f"{STAR}, {_BFS}", True)
-_star("symbol_references", lambda g: lookup.references(g, "AutomobileUser0"), "SELECT path, imported_symbol FROM (SELECT *, max(imported_symbol IS NOT NULL) OVER (PARTITION BY target) AS named FROM deps WHERE target IN (SELECT file_id FROM symbols WHERE name = 'AutomobileUser0')) JOIN files ON id = source WHERE NOT named OR imported_symbol = 'AutomobileUser0'")
+_METHODS = "kind = 'method'"
+_star("symbol_references", lambda g: lookup.references(g, g.symbols.filter(_METHODS)), f"SELECT s.id, path, imported_symbol FROM symbols s JOIN (SELECT *, max(imported_symbol IS NOT NULL) OVER (PARTITION BY target) AS named FROM deps WHERE target IS NOT NULL) d ON d.target = s.file_id JOIN (SELECT id AS fid, path FROM files) ON fid = source WHERE {_METHODS} AND (NOT named OR imported_symbol = s.name)")
+_star("symbol_members", lambda g: lookup.details(g, g.symbols.filter(_METHODS))["methods"], f"SELECT s.id, m.id AS member, m.name, m.kind, m.parent, m.signature, m.start_line FROM symbols s JOIN symbols m ON m.file_id = s.file_id AND m.parent = coalesce(s.parent, s.name) WHERE s.{_METHODS} AND m.kind IN ('method', 'field')")
+_star("symbol_dependencies", lambda g: lookup.details(g, g.symbols.filter(_METHODS))["dependencies"], f"SELECT s.id, path, imported_symbol FROM symbols s JOIN deps ON source = file_id JOIN (SELECT id AS fid, path FROM files) ON fid = target WHERE s.{_METHODS}")
+_star("file_by_path", lambda g: g.files.join(g.files.filter(F.col("id") % 50 == 1).select("path"), "path", "left_semi").select("id", "path", "size"), "SELECT id, path, size FROM files WHERE id % 50 = 1")
+_star("parent_and_name", lambda g: lookup.symbols_where(g, 200, parent="Nation3", name=[f"BuildingUser{k}" for k in range(2000)]), "SELECT id, name, kind, parent, start_line FROM symbols WHERE parent = 'Nation3' AND regexp_full_match(name, 'BuildingUser[0-9]+') AND CAST(name[13:] AS INT) < 2000 ORDER BY start_line, id LIMIT 200")
+_star("impact_count", lambda g: g.files.filter(F.col("id") == START).select("id", F.lit(lookup.reachable_counts(g, START, 3)[1]).cast("long").alias("reachable")), f"SELECT CAST({START} AS BIGINT) AS id, count(*) FILTER (distance > 0) AS reachable FROM seen", f"{STAR}, {_BFS}", True)
+_star("impact_deep", lambda g: lookup.reachable(g, START, 12).groupBy("distance").agg(F.count(F.lit(1)).alias("n")), "SELECT distance, count(*) AS n FROM seen WHERE distance > 0 GROUP BY distance", f"{STAR}, {_BFS.replace('< 3', '< 12')}", True)
 _star("word_tokens", lambda g: g.symbols.select("id", F.concat_ws(" ", T.name_words(F.col("name"))).alias("words")), f"SELECT id, array_to_string({_NW}, ' ') AS words FROM symbols")
 _star("token_match", lambda g: g.symbols.select("id", *(T.match_level(T.name_words(F.col("name")), k).alias(k) for k in KEYWORDS)), "SELECT id, " + ", ".join(f"{_level(_NW, k)} AS \"{k}\"" for k in KEYWORDS) + " FROM symbols")
 _star("doc_freq", lambda g: context.document_frequency(g, KEYWORDS), f"SELECT keyword, df FROM ({_DF}) WHERE df > 0")
 _star("idf_weights", lambda g: context.document_frequency(g, KEYWORDS).select("keyword", F.round(F.least(F.lit(1.0), F.lit(8.0) / F.greatest("df", F.lit(1))), 6).alias("weight")), f"SELECT keyword, round(least(1.0::DOUBLE, 8.0::DOUBLE / greatest(df, 1)), 6) AS weight FROM ({_DF}) WHERE df > 0")
 _ranked("symbol_scores", lambda g, w: _r(context.symbol_scores(g, w).select("id", "score"), "score"), "SELECT id, round(score, 6) AS score FROM scored")
 _ranked("top_symbols", lambda g, w: context.symbol_scores(g, w).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "path", "id").limit(30).select("id", "name", "score"), "SELECT id, name, round(score, 6) AS score FROM scored ORDER BY round(score, 6) DESC, path, id LIMIT 30")
+_ranked("candidate_files", lambda g, w: _r(context.candidates(g, KEYWORDS), "score").select("file_id", "path", "score"), "SELECT file_id, path, round(sum(score), 6) AS score FROM (SELECT file_id, path, " + re.sub(r"w\d+ \*", "1.0::DOUBLE *", _SCORE) + f" AS score FROM (SELECT s.file_id, f.path, {_words('s.name')} AS nw, {_words('s.signature')} AS sw, {_words('f.path')} AS pw FROM symbols s JOIN files f ON f.id = s.file_id)) WHERE score > 0 GROUP BY file_id, path")
 _ranked("file_scores", lambda g, w: _r(context.file_scores(g, w), "score"), "SELECT file_id, path, round(score, 6) AS score FROM rated")
-_ranked("dep_follow", lambda g, w: _r(context.follow(g, w), "score"), "SELECT t.file_id, round(2.0 + 0.1::DOUBLE * parent + coalesce(0.25 * ln(n + 1), 0), 6) AS score FROM (SELECT target AS file_id, max(score) AS parent FROM deps JOIN roots ON source = root WHERE target IS NOT NULL GROUP BY target) t LEFT JOIN degree d ON d.file_id = t.file_id")
-_ranked("dependent_follow", lambda g, w: _r(context.follow(g, w, reverse=True), "score"), "SELECT t.file_id, round(2.0 + 0.1::DOUBLE * parent + coalesce(0.25 * ln(n + 1), 0), 6) AS score FROM (SELECT source AS file_id, max(score) AS parent FROM deps JOIN roots ON target = root JOIN degree h ON h.file_id = target LEFT JOIN degree o ON o.file_id = source WHERE h.n <= 40 OR o.n >= 2 GROUP BY source) t LEFT JOIN degree d ON d.file_id = t.file_id")
+_ranked("dep_follow", lambda g, w: _r(context.follow(g, context.file_scores(g, w)), "score"), "SELECT t.file_id, round(2.0 + 0.1::DOUBLE * parent + coalesce(0.25 * ln(n + 1), 0), 6) AS score FROM (SELECT target AS file_id, max(score) AS parent FROM deps JOIN roots ON source = root WHERE target IN (SELECT id FROM files) GROUP BY target) t LEFT JOIN degree d ON d.file_id = t.file_id")
+_ranked("dependent_follow", lambda g, w: _r(context.follow(g, context.file_scores(g, w), True), "score"), "SELECT t.file_id, round(2.0 + 0.1::DOUBLE * parent + coalesce(0.25 * ln(n + 1), 0), 6) AS score FROM (SELECT source AS file_id, max(score) AS parent FROM deps JOIN roots ON target = root JOIN degree h ON h.file_id = target LEFT JOIN degree o ON o.file_id = source WHERE h.n <= 40 OR o.n >= 2 GROUP BY source) t LEFT JOIN degree d ON d.file_id = t.file_id")
 _add("tokenize", lambda s, d: bindings.texts(s, d).select("id", F.concat_ws(" ", T.task_words(F.col("text"))).alias("words")), f"WITH {TEXTS}, t AS (SELECT id, {_tokens('text')} AS x FROM texts) SELECT id, array_to_string(list_filter(x, lambda w, i: i = 1 OR w <> x[i - 1]), ' ') AS words FROM t")
 _add("token_estimate", lambda s, d: bindings.texts(s, d).select("id", T.token_estimate(F.col("text")).alias("tokens")), f"WITH {TEXTS} SELECT id, greatest(1, size // 4) AS tokens FROM texts")
 _add("content_hash", lambda s, d: bindings.texts(s, d).select("path", "hash", "size"), f"WITH {TEXTS} SELECT path, hash, CAST(size AS BIGINT) AS size FROM texts")
@@ -188,9 +198,9 @@ def _target_sql(t: str) -> str:
 
 
 _star("resolve_target_path", lambda g: lookup.resolve_target(g, "models/"), _target_sql("models/"))
-_star("resolve_target_symbol", lambda g: lookup.resolve_target(g, "AutomobileUser0"), _target_sql("AutomobileUser0"))
+_star("resolve_target_symbol", lambda g: lookup.resolve_target(g, "BuildingUser4"), _target_sql("BuildingUser4"))
 _star("resolve_file", lambda g: lookup.resolve_file(g, "core/"), "SELECT path, id FROM (SELECT * FROM files WHERE path ILIKE '%core/%' ORDER BY path LIMIT 20) WHERE contains(path, 'core/') ORDER BY path LIMIT 1")
-_star("resolve_symbol", lambda g: lookup.resolve_symbol(g, "BuildingUser4"), "SELECT s.id, name, kind, parent, start_line, path FROM (SELECT * FROM symbols WHERE name = 'BuildingUser4' ORDER BY start_line, id LIMIT 200) s JOIN files f ON f.id = file_id")
+_star("resolve_symbol", lambda g: lookup.resolve_symbol(g, "BuildingUser4"), "SELECT s.id, file_id, name, kind, parent, signature, start_line, path FROM (SELECT * FROM symbols WHERE name = 'BuildingUser4' ORDER BY start_line, id LIMIT 200) s JOIN files f ON f.id = file_id")
 _star("diff_impact", lambda g: lookup.diff_impact(g, g.files.filter(F.col("id") == HUB)), f"SELECT DISTINCT path FROM deps JOIN files ON id = source WHERE target = {HUB} ORDER BY path LIMIT 20")
 _HOPS = " UNION ALL ".join(f"SELECT file_id, score, 1 AS follow FROM ({_ORACLE[n].split(_ALL, 1)[1]})" for n in ("dep_follow", "dependent_follow"))
 _RANKED = f"ranked AS (SELECT file_id, path, score, follow = 1 AS follow_only FROM (SELECT file_id, max(score) AS score, min(follow) AS follow FROM (SELECT file_id, round(score, 6) AS score, 0 AS follow FROM rated UNION ALL {_HOPS}) GROUP BY file_id) JOIN (SELECT id, path FROM files) ON id = file_id)"
@@ -198,6 +208,51 @@ _ranked("context_files", lambda g, w: _r(package.ranked(g, w), "score"), f", {_R
 _ranked("context_capped", lambda g, w: package.capped(_r(package.ranked(g, w), "score")), f", {_RANKED} SELECT * FROM ranked WHERE NOT follow_only UNION ALL SELECT * FROM (SELECT * FROM ranked WHERE follow_only ORDER BY score DESC, path LIMIT 6)")
 
 
+_LATE, _EDITED = "file_id % 7 = 2", "file_id % 10 = 3"
+_LIVE = f"""live AS (SELECT file_id, path, score + CASE WHEN {_LATE} THEN 2.0 ELSE 0.0 END + CASE WHEN {_EDITED} THEN 1.5 ELSE 0.0 END AS score FROM rated),
+start AS (SELECT file_id AS root, score FROM live WHERE score >= 3.0),
+hops AS (SELECT target AS file_id, score, 1 AS way FROM deps JOIN start ON source = root WHERE target IN (SELECT id FROM files)
+  UNION ALL SELECT source, score, 2 FROM deps JOIN start ON target = root JOIN degree h ON h.file_id = target LEFT JOIN degree o ON o.file_id = source WHERE h.n <= 40 OR o.n >= 2),
+hopped AS (SELECT file_id, way, round(2.0 + 0.1::DOUBLE * max(score) + CASE WHEN {_LATE} THEN 2.0 ELSE 0.0 END + coalesce(max(0.25 * ln(n + 1)), 0), 6) AS score FROM hops LEFT JOIN degree USING (file_id) GROUP BY file_id, way),
+worked AS (SELECT file_id, path, score, way > 0 AS follow_only FROM (SELECT file_id, max(score) AS score, min(way) AS way FROM (SELECT file_id, round(score, 6) AS score, 0 AS way FROM live UNION ALL SELECT file_id, score, way FROM hopped) GROUP BY file_id) JOIN (SELECT id, path FROM files) ON id = file_id)"""
+
+
+def _working(g: bindings.Graph, w: dict) -> DataFrame:
+    """Ranked files while some are changed and some were written after the index."""
+    some = lambda rule: g.files.withColumnRenamed("id", "file_id").filter(rule).select("path")
+    return _r(package.ranked(g, w, some(_EDITED), some(_LATE)), "score")
+
+
+def _filled(g: bindings.Graph, w: dict) -> DataFrame:
+    rows = package.capped(_working(g, w)).join(g.files.select("path", (F.col("size") * 100).alias("tokens")), "path").select("path", "score", "tokens")
+    return g.files.sparkSession.createDataFrame([tuple(r) for r in package.filled(rows)[0]], "path string, score double, tokens long")
+
+
+def _best(g: bindings.Graph, w: dict) -> list[str]:
+    return [r.path for r in _r(context.file_scores(g, w), "score").orderBy(F.desc("score"), "path").limit(25).collect()]
+
+
+_BEST = "chosen AS (SELECT file_id, path, row_number() OVER (ORDER BY round(score, 6) DESC, path) AS place FROM rated QUALIFY place <= 25)"
+_ranked("context_working_tree", _working, f", {_LIVE} SELECT * FROM worked")
+_ranked("context_filled", _filled, f""", {_LIVE}, most AS (SELECT * FROM worked WHERE NOT follow_only UNION ALL SELECT * FROM (SELECT * FROM worked WHERE follow_only ORDER BY score DESC, path LIMIT 6)),
+line AS (SELECT path, score, tokens, row_number() OVER (ORDER BY score DESC, path) AS place FROM most JOIN (SELECT id, size * 100 AS tokens FROM files) ON id = file_id),
+fill(place, rest, n, taken) AS (SELECT CAST(0 AS BIGINT), CAST(12000 AS BIGINT), 0, false UNION ALL SELECT l.place, CASE WHEN tokens <= rest THEN rest - tokens ELSE rest END, n + CASE WHEN tokens <= rest OR n = 0 THEN 1 ELSE 0 END, tokens <= rest OR n = 0
+  FROM fill f JOIN line l ON l.place = f.place + 1 WHERE n < 25 AND (n = 0 OR rest >= 1))
+SELECT path, score, CAST(tokens AS BIGINT) AS tokens FROM line JOIN fill USING (place) WHERE taken""", True)
+_ranked("context_tree", lambda g, w: g.files.sparkSession.createDataFrame(list(enumerate(package.architecture(_best(g, w)))), "place long, line string"),
+        f", {_BEST}, folders AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS f FROM chosen), tree AS (SELECT repeat('  ', len(f) - len(replace(f, '/', ''))) || regexp_replace(f, '^.*/', '') || '/' AS line FROM folders) SELECT row_number() OVER (ORDER BY line) - 1 AS place, line FROM tree UNION ALL SELECT count(*), '...' FROM tree")
+_ranked("context_dependencies", lambda g, w: g.files.sparkSession.createDataFrame(list(enumerate(package.package_dependencies(g, _best(g, w)))), "place long, name string"),
+        f", {_BEST}, named AS (SELECT t.path AS name, min(place) AS first FROM chosen JOIN deps ON source = file_id JOIN files t ON t.id = target GROUP BY t.path) SELECT row_number() OVER (ORDER BY first, name) - 1 AS place, name FROM named QUALIFY place < 12")
+
+
+def _listing(s: SparkSession, d: str) -> DataFrame:
+    old, new = (x.select("path", F.lit("python").alias("language"), "size", mtime.cast("long").alias("mtime")) for x, mtime in zip(bindings.snapshots(s, d), (F.lit(1), F.when(F.col("id") % 11 == 0, 2).otherwise(1))))
+    return indexing.states(new, old, 2000).select("path", "size", "state")
+
+
+_add("index_states", _listing, f"WITH {SNAPS} SELECT coalesce(o.path, n.path) AS path, CAST(n.size2 AS BIGINT) AS size, CASE WHEN n.path IS NULL THEN 'deleted' WHEN o.path IS NULL THEN CASE WHEN n.size2 > 2000 THEN 'skipped' ELSE 'new' END WHEN n.size2 = o.size AND n.id % 11 <> 0 THEN 'same' ELSE 'check' END AS state FROM old o FULL JOIN (SELECT id, path, octet_length(encode(text)) AS size2 FROM new) n ON o.path = n.path")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

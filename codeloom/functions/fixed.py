@@ -52,4 +52,14 @@ test tests spec unittest
 """.strip().split("\n")
 ]
 NAME_POINTS = {3: 6.0, 2: 3.0, 1: 2.0}
-ROOT_SCORE, HUB_DEPENDENTS, FOLLOW_BASE, FOLLOW_SHARE = 3.0, 40, 2.0, 0.1
+ROOT_SCORE, HUB_DEPENDENTS, FOLLOW_BASE, FOLLOW_SHARE, RECENT, CHANGED = 3.0, 40, 2.0, 0.1, 2.0, 1.5
+#: Packages that name a framework, in the order in which they are looked for, and files that name a package manager.
+FRAMEWORKS = {
+    "next": "Next.js", "nuxt": "Nuxt", "remix": "Remix", "gatsby": "gatsby", "svelte": "SvelteKit", "angular": "Angular", "vue": "Vue", "react": "React", "@nestjs/core": "NestJS",
+    "express": "Express", "fastify": "Fastify", "koa": "Koa", "graphql": "GraphQL", "prisma": "Prisma", "drizzle-orm": "Drizzle ORM", "tailwindcss": "Tailwind CSS", "vitest": "Vitest", "jest": "Jest",
+}
+CARGO_FRAMEWORKS = {"actix-web": "Actix Web", "axum": "Axum", "rocket": "Rocket", "tokio": "Tokio", "serde": "Serde", "clap": "Clap"}
+PACKAGE_MANAGERS = {
+    "pnpm-lock.yaml": "pnpm", "yarn.lock": "yarn", "package-lock.json": "npm", "bun.lockb": "bun", "bun.lock": "bun", "uv.lock": "uv", "poetry.lock": "poetry", "Cargo.lock": "cargo", "go.sum": "go modules",
+}
+LANGUAGE_NAMES = {"typescript": "TypeScript", "javascript": "JavaScript", "python": "Python", "rust": "Rust", "go": "Go"}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,11 +17,16 @@ def like_any(column: Column, needle: str) -> Column:
     return column.ilike(f"%{needle}%")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed once however often use refers to it: inside a lambda it is a variable, which
+    the optimizer cannot replace by its expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def task_words(text: Column) -> Column:
     """Lower-case words of two bytes and more without stop words; consecutive repeats count once."""
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: (F.octet_length(w) > 1) & ~F.array_contains(stop, w))
-    return F.filter(words, lambda w, i: (i == 0) | (w != F.element_at(words, F.greatest(i, F.lit(1)).cast("int"))))
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: (F.octet_length(w) > 1) & ~w.isin(*STOP_WORDS))
+    return bound(words, lambda ws: F.filter(ws, lambda w, i: (i == 0) | (w != F.get(ws, i - 1))))
 
 
 def name_words(text: Column) -> Column:

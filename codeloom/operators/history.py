@@ -21,11 +21,13 @@ def _symbols(spark: SparkSession, rows: list[tuple[str, str, bytes]]) -> DataFra
 
 
 def symbol_diff(spark: SparkSession, repository: Repository, base: str | None = None, head: str | None = None) -> tuple[list[Change], DataFrame, bool]:
-    """(changed files, path, symbol, status, signature, line of their symbols, whether the change is large). One
-    revision means its merge base with the last commit against the working tree; two are compared themselves."""
+    """(changed files, path, symbol, status, signature, line of their symbols, whether the change is large). No revision
+    means the working tree against the last commit, untracked files included. One revision means its merge base with
+    the last commit against the working tree, without untracked files; two are compared themselves."""
+    untracked = base is None
     if base and not head:
         base = repository.merge_base(base)
-    changes = repository.changes(base, head)
+    changes = repository.changes(base, head, untracked)
     old, new = [], []
     for c in supported(changes):
         language = language_of(c.path)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.operators.resolution import resolve
 from codeloom.parsers import parse_sources
 from codeloom.sources import scan
-from codeloom.sources.store import TABLES, Store
+from codeloom.sources.git import Change, Repository
+from codeloom.sources.store import FORMAT, TABLES, Store
 
 
 def states(listing: DataFrame, old: DataFrame, max_size: int) -> DataFrame:
@@ -70,19 +73,43 @@ def run_index(spark: SparkSession, root: str, store: Store, config: dict | None
 
 
 def index_paths(spark: SparkSession, root: str, store: Store, paths: DataFrame) -> dict:
-    """Only the given paths, as a watcher reports them: missing ones leave the index, the others are read again."""
+    """Only the given paths, as a watcher reports them: missing ones leave the index, the others are read again. The tree
+    isn't walked; the driver looks at the given paths, which are those of one batch of changes."""
     known = store.table("files").join(paths.select("path").distinct(), "path", "left_semi")
     config = scan.load_config(root)
-    now = scan.scan(spark, root, config).join(paths.select("path").distinct(), "path", "left_semi")
+    found = (scan.entry(root, r.path, config["index"]["exclude"], config["index"]["follow_symlinks"]) for r in paths.select("path").distinct().toLocalIterator())
+    now = spark.createDataFrame([x for x in found if x], scan.LISTING)
     found = states(now, known, config["index"]["max_file_size"])
     return apply(store, found, scan.contents(found.filter("state IN ('new', 'check')"), root), scan.go_module(root), scan.workspace_packages(root))
 
 
-def freshness(spark: SparkSession, root: str, store: Store) -> dict:
+def sync_changed(spark: SparkSession, repository: Repository, root: str, store: Store) -> dict | None:
+    """Brings the index up to date with the files that version control calls changed; None if there are none."""
+    at = os.path.relpath(root, repository.root)
+    paths = [c.path if at == "." else os.path.relpath(c.path, at) for c in repository.changes() for c in ([c, Change(c.old_path, "D")] if c.old_path and c.status == "R" else [c])]
+    inside = [(p,) for p in paths if not p.startswith("..") and scan.language_of(p)]
+    return index_paths(spark, root, store, spark.createDataFrame(inside, "path string")) if inside else None
+
+
+def integrity(store: Store) -> dict:
+    """A quick check of the current version: its tables can be read, ids are unique, and every reference has its file."""
+    g = store.graph()
+    ids = g.files.select(F.col("id").alias("file_id"))
+    checks = {
+        "duplicate_files": g.files.groupBy("id").count().filter("count > 1"),
+        "orphaned_symbols": g.symbols.join(ids, "file_id", "left_anti"),
+        "orphaned_dependencies": g.dependencies.join(ids.withColumnRenamed("file_id", "source_file_id"), "source_file_id", "left_anti"),
+        "dangling_targets": g.edges().join(ids.withColumnRenamed("file_id", "target_file_id"), "target_file_id", "left_anti"),
+    }
+    counts = {name: df.count() for name, df in checks.items()}
+    return {"healthy": not any(counts.values()) and store.format() == FORMAT, "schema_version": store.format(), **counts}
+
+
+def freshness(spark: SparkSession, root: str, store: Store, config: dict | None = None) -> dict:
     """READY, STALE or NOT_INITIALIZED, with the counts of files that differ."""
     if not store.versions():
         return {"status": "NOT_INITIALIZED"}
-    config = scan.load_config(root)
+    config = config or scan.load_config(root)
     counts = {r.state: r.n for r in states(scan.scan(spark, root, config), store.table("files"), config["index"]["max_file_size"]).groupBy("state").agg(F.count(F.lit(1)).alias("n")).collect()}
     stale = {k: counts.get(k, 0) for k in ("new", "check", "deleted")}
     return {"status": "STALE" if any(stale.values()) else "READY", **stale, "files": sum(counts.values()) - stale["deleted"]}

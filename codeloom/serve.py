@@ -6,30 +6,61 @@ import json
 from collections.abc import Callable, Iterable
 
 from codeloom.api import VERSION, Project
+from codeloom.operators.lookup import KINDS
 
 PROTOCOL = "2025-06-18"
 
 
-def _text(name: str, what: str, required: bool = True) -> tuple:
-    return name, {"type": "string", "description": what}, required
+def _text(name: str, what: str, required: bool = True, **more) -> tuple:
+    return name, {"type": "string", "description": what, **more}, required
 
 
-def _number(name: str, what: str) -> tuple:
-    return name, {"type": "integer", "description": what}, False
+def _number(name: str, what: str, low: int, high: int) -> tuple:
+    return name, {"type": "integer", "description": what, "minimum": low, "maximum": high}, False
+
+
+def _flag(name: str, what: str) -> tuple:
+    return name, {"type": "boolean", "description": what}, False
+
+
+def _search(p: Project, a: dict) -> list[dict]:
+    limit = int(a.get("limit", 50))
+    if a.get("files"):
+        return [{k: f[k] for k in ("path", "language", "size")} for f in p.search(a["query"], limit=limit, files=True)]
+    return [{"name": s["name"], "parent": s["parent"], "kind": s["kind"], "path": s["path"], "line": s["start_line"], "signature": s["signature"]} for s in p.search(a["query"], a.get("kind"), limit)]
+
+
+def _skeleton(p: Project, a: dict) -> dict:
+    out = p.skeleton(a["path"])
+    return out if a.get("with_stats") else {k: out[k] for k in ("path", "language", "skeleton")}
+
+
+def _impact(p: Project, a: dict) -> dict:
+    target = a.get("symbol") or (p.inside(a["path"]) if a.get("path") else None)
+    if target is None:
+        raise ValueError("give a `symbol` or a `path`")
+    try:
+        return p.impact(target, int(a.get("depth", 3)))
+    except ValueError as error:
+        return {"error": str(error), "hint": "init brings the index up to date"}
+
+
+def _versioned(run: Callable[[Project, dict], object]) -> Callable[[Project, dict], object]:
+    return lambda p, a: run(p, a) if p.repository() else {"error": "not a git repository"}
 
 
 TOOLS: dict[str, tuple[str, list, Callable[[Project, dict], object]]] = {
-    "ctx_project": ("Counts and languages of the project", [], lambda p, a: p.stats()),
-    "ctx_stats": ("Counts of the index", [], lambda p, a: p.stats()),
-    "ctx_search": ("Symbols or files by name", [_text("query", "part of a name"), _text("kind", "symbol kind, or file", False), _number("limit", "most results")], lambda p, a: p.search(a["query"], None if a.get("kind") == "file" else a.get("kind"), int(a.get("limit", 50)), a.get("kind") == "file")),
-    "ctx_skeleton": ("A file without function bodies", [_text("path", "project path")], lambda p, a: p.skeleton(a["path"])),
-    "ctx_symbol": ("A symbol, its members and references", [_text("name", "name or Parent.member")], lambda p, a: p.symbol(a["name"])),
-    "ctx_dependencies": ("What a file depends on", [_text("path", "project path")], lambda p, a: p.deps(a["path"])["dependencies"]),
-    "ctx_dependents": ("What depends on a file", [_text("path", "project path")], lambda p, a: p.deps(a["path"])["dependents"]),
-    "ctx_impact": ("What a change reaches", [_text("target", "path or symbol"), _number("depth", "levels, 1 to 20")], lambda p, a: p.impact(a["target"], int(a.get("depth", 3)))),
-    "ctx_context": ("Files for a task within a token budget", [_text("task", "what is to be done"), _number("max_tokens", "budget")], lambda p, a: p.context(a["task"], a.get("max_tokens"), bool(a.get("include_bodies")))),
-    "ctx_changed": ("Changed symbols", [_text("ref", "revision", False)], lambda p, a: p.changed(a.get("ref"))),
-    "ctx_diff": ("Symbol differences between revisions", [_text("base", "revision"), _text("head", "revision", False)], lambda p, a: p.diff(a["base"], a.get("head"))),
+    "ctx_project": ("Root, version control, counts and languages of the project", [], lambda p, a: p.summary()),
+    "ctx_stats": ("Counts and size of the index", [], lambda p, a: p.stats()),
+    "ctx_search": ("Symbols or files by name", [_text("query", "part of a name"), _text("kind", "symbol kind", False, enum=sorted(set(KINDS.values()))), _flag("files", "search file paths instead of symbols"), _number("limit", "most results", 1, 500)], _search),
+    "ctx_skeleton": ("A file without function bodies", [_text("path", "project path"), _flag("with_stats", "sizes and what was saved, too")], _skeleton),
+    "ctx_symbol": ("A symbol, its methods, references and dependencies", [_text("name", "name or Parent.member")], lambda p, a: p.symbol(a["name"])),
+    "ctx_dependencies": ("What a file depends on", [_text("path", "project path")], lambda p, a: [{"target": d["path"], "imported_symbol": d["imported_symbol"]} for d in p.deps(p.inside(a["path"]))["dependencies"]]),
+    "ctx_dependents": ("What depends on a file", [_text("path", "project path")], lambda p, a: [{"source": d["path"], "imported_symbol": d["imported_symbol"]} for d in p.deps(p.inside(a["path"]))["dependents"]]),
+    "ctx_impact": ("What a change of a symbol or file reaches", [_text("symbol", "symbol name", False), _text("path", "project path, instead of a symbol", False), _number("depth", "levels", 1, 20)], _impact),
+    "ctx_context": ("Files for a task within a token budget", [_text("task", "what is to be done"), _flag("include_bodies", "whole files instead of skeletons"), _number("max_tokens", "budget", 128, 100_000)], lambda p, a: p.context(a["task"], a.get("max_tokens"), bool(a.get("include_bodies")))),
+    "ctx_changed": ("Changed files and symbols since a revision (by default of the working tree)", [_text("ref", "revision", False)], _versioned(lambda p, a: p.changed(a.get("ref")))),
+    "ctx_diff": ("Symbols that differ between revisions; one revision means its merge base with the last commit", [_text("base", "revision, by default HEAD", False), _text("head", "revision", False)], _versioned(lambda p, a: p.diff(a.get("base"), a.get("head")))),
 }
 
 

@@ -41,9 +41,9 @@ class Repository:
     def merge_base(self, rev: str) -> str:
         return self.run("merge-base", rev, "HEAD").strip()
 
-    def changes(self, base: str | None = None, head: str | None = None) -> list[Change]:
-        """By path: of the working tree against the last commit, or against a revision, untracked files included; or
-        between two revisions. The engine's and git's own folders are left out."""
+    def changes(self, base: str | None = None, head: str | None = None, untracked: bool = True) -> list[Change]:
+        """By path: of the working tree against the last commit, or against a revision, with untracked files or without;
+        or between two revisions. The engine's and git's own folders are left out."""
         for rev in (base, head):
             if rev is not None and rev.startswith("-"):
                 raise ValueError(f"not a revision: {rev}")
@@ -55,7 +55,7 @@ class Repository:
             kind = {"A": "A", "D": "D", "R": "R", "C": "R"}.get(code[0], "M")
             old = next(rest) if code[0] in "RC" else None
             found.append(Change(next(rest), kind, old))
-        if head is None:
+        if head is None and untracked:
             found += [Change(p, "A") for p in self.run("ls-files", "--others", "--exclude-standard", "-z").split("\0") if p]
         return sorted({c.path: c for c in found if c.path.split("/")[0] not in (".ctx", ".git")}.values(), key=lambda c: c.path)
 

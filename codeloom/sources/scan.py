@@ -87,6 +87,25 @@ def walk(root: str, excludes: list[str] | None = None, follow: bool = False) ->
     yield from visit("", _rules(os.path.join(root, ".git/info/exclude"), ""))
 
 
+def entry(root: str, path: str, excludes: list[str] | None = None, follow: bool = False) -> tuple[str, str, int, int] | None:
+    """What walk would give for one path, or None; only the folders above it are looked at."""
+    excludes, rules, parts = EXCLUDED if excludes is None else excludes, _rules(os.path.join(root, ".git/info/exclude"), ""), path.split("/")
+    for k, name in enumerate(parts):
+        folder, sub = "/".join(parts[:k]), "/".join(parts[: k + 1])
+        rules = rules + _rules(os.path.join(root, folder, ".ignore"), folder) + _rules(os.path.join(root, folder, ".gitignore"), folder)
+        is_dir = k < len(parts) - 1
+        if name.startswith(".") or excluded(sub, excludes) or (not follow and os.path.islink(os.path.join(root, sub))):
+            return None
+        if next((not negated for p, negated, only in reversed(rules) if (is_dir or not only) and p.match(sub)), False):
+            return None
+    full = os.path.join(root, path)
+    language = language_of(path)
+    if language is None or not os.path.isfile(full):
+        return None
+    s = os.stat(full)
+    return path, language, s.st_size, int(s.st_mtime)
+
+
 def scan(spark: SparkSession, root: str, config: dict | None = None) -> DataFrame:
     """The listing of a tree. The driver lists one project; a table of many projects comes as a relation instead."""
     index = (config or DEFAULTS)["index"]

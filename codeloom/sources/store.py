@@ -44,10 +44,30 @@ class Store:
         return version
 
     def commit(self, version: int, keep: int = 2) -> None:
-        self._fs.create(self._path(f"{self.at(version)}/_READY"), True).close()
+        """Marks a version as the current one; an error if another writer was faster. The marker holds the format."""
+        out = self._fs.create(self._path(f"{self.at(version)}/_READY"), False)
+        out.write(bytearray(str(FORMAT).encode()))
+        out.close()
         for old in self.versions()[:-keep]:
             self._fs.delete(self._path(self.at(old)), True)
 
+    def format(self) -> int:
+        """The format of the current version; 0 if there is none."""
+        have = self.versions()
+        if not have:
+            return 0
+        stream = self._fs.open(self._path(f"{self.at(have[-1])}/_READY"))
+        try:
+            digit = stream.read()
+            return digit - 48 if digit >= 0 else 0
+        finally:
+            stream.close()
+
+    def built(self) -> float:
+        """When the current version was committed, in seconds; 0 if there is none."""
+        have = self.versions()
+        return self._fs.getFileStatus(self._path(f"{self.at(have[-1])}/_READY")).getModificationTime() / 1000 if have else 0.0
+
     def wipe(self) -> None:
         self._fs.delete(self._path(self.folder), True)
 

@@ -27,4 +27,6 @@ def test_oracle(spark, sf_dir, duck, name):
     want = duck.execute(catalog.oracle_sql()[name])
     names = [c[0] for c in want.description]
     assert sorted(names) == sorted(df.columns)
-    assert canon([tuple(r) for r in df.collect()], df.columns) == canon(want.fetchall(), names)
+    found = canon([tuple(r) for r in df.collect()], df.columns)
+    assert found == canon(want.fetchall(), names)
+    assert found, "a query that compares no rows shows nothing"
