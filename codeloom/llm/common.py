@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from functools import cached_property
 
@@ -12,6 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.sources.scratch import cut, scratch  # noqa: F401  for the operators
+
 U64 = np.uint64
 WORD = r"[^\x20\x09-\x0D]+"
 #: Multipliers of the two polynomial hashes (odd) and of the finalizer.
@@ -21,23 +22,6 @@ BLOCK_BYTES = 2 << 20
 BUCKET_KEYS = 1 << 20
 
 
-def scratch(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only in local mode, where executors share it with the driver."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder and not sc.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="codeloom-"))
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut, by a checkpoint in the shared folder."""
-    scratch(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 class Tables:
     """Intermediate tables of a loop of jobs, as Parquet in the shared folder: unlike a checkpoint they carry no
     constraints over from step to step, and the loop can drop them once its result no longer needs them."""
