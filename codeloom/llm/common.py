@@ -184,31 +184,30 @@ def corpus_bytes(docs: DataFrame) -> tuple[int, int]:
     return n, size or 0
 
 
-def blocked(docs: DataFrame, size: int, *keys: str, whole_rows: bool = False) -> DataFrame:
-    """(block, doc_id, text, with whole_rows also row, a struct): rows dealt by a hash of the keys into blocks of about BLOCK_BYTES of text."""
+def blocked(docs: DataFrame, size: int, whole_rows: bool = False) -> DataFrame:
+    """(block, doc_id, text, with whole_rows also row, a struct): rows dealt by a hash of id and text into blocks of about BLOCK_BYTES of text."""
     parts = shuffle_parts(docs.sparkSession)
     n = max(parts, size // BLOCK_BYTES + 1)
-    keys = [F.col(k) for k in keys or ("doc_id", "text")]
-    return docs.select(F.pmod(F.xxhash64(*keys), F.lit(n)).alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct("*").alias("row")] if whole_rows else []))
+    return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct("*").alias("row")] if whole_rows else []))
 
 
-SENT = "bucket int, block long, keys binary, counts binary, notes binary, first binary, second binary"
+SENT = "bucket int, block long, keys binary, counts binary, notes binary, first binary, second binary, third binary"
 TOLD = "block long, bucket int, kind int, keys binary, totals binary, leads binary, open binary"
-SENT_SCHEMA = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ("keys", "counts", "notes", "first", "second"))])
+SENT_SCHEMA = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ("keys", "counts", "notes", "first", "second", "third"))])
 TOLD_SCHEMA = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("keys", "totals", "leads", "open"))])
 
 
-def send(block: int, keys: np.ndarray, deal: np.ndarray, buckets: int, order: tuple[np.ndarray, np.ndarray] | None = None, notes: np.ndarray | None = None, width: int = 8) -> pa.Table:
+def send(block: int, keys: np.ndarray, deal: np.ndarray, buckets: int, order: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, notes: np.ndarray | None = None, width: int = 8) -> pa.Table:
     """Rows for ``tell``: a block's distinct keys, dealt to buckets by another hash, with their counts in the block.
 
-    order: two unsigned arrays; then a key also carries the least pair among its occurrences in the block.
+    order: three unsigned arrays; then a key also carries the least triple among its occurrences in the block.
     notes: an expected total for each key. A key that fills a third of the corpus thus adds one entry a block.
     width: low bytes of a key that travel; with 4, the high half of a key must be its bucket.
     """
     if order is None:
         keys, at, counts = np.unique(keys, return_index=True, return_counts=True)
     else:
-        by = np.lexsort((order[1], order[0], keys))
+        by = np.lexsort((*order[::-1], keys))
         sorted_keys = keys[by]
         new = np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]]) if len(by) else np.zeros(0, np.int64)
         counts = np.diff(np.r_[new, len(by)])
@@ -225,14 +224,18 @@ def send(block: int, keys: np.ndarray, deal: np.ndarray, buckets: int, order: tu
         return pa.array([how(column[edges[b] : edges[b + 1]]) for b in used], pa.binary())
 
     columns = [packed(keys.astype(f"u{width}"), np.ndarray.tobytes), packed(counts.astype(np.uint32)), packed(None if notes is None else notes[at].astype(np.uint32)), *(packed(o[at]) for o in order or ())]
-    columns += [packed(None)] * (5 - len(columns))
+    columns += [packed(None)] * (6 - len(columns))
     return pa.Table.from_arrays([pa.array(used.astype(np.int32)), pa.array(np.full(len(used), block, np.int64)), *columns], schema=SENT_SCHEMA)
 
 
-def tell(sent: DataFrame, kind: int, width: int = 8) -> DataFrame:
+def tell(sent: DataFrame, kind: int, width: int = 8, hot: int = 1 << 32) -> DataFrame:
     """For each block its keys that occur twice or more in the corpus: total counts and whether the block holds the
-    first occurrence in order. With notes also the keys whose total isn't the noted one, as open ones. One task takes a
-    bucket: one packed row from each block. width: bytes of a key."""
+    first occurrence in order. With notes also the keys whose total isn't the noted one, as open ones: 1, or 2 for a note
+    of hot and more. One task takes a bucket: one packed row from each block. width: bytes of a key."""
+    return sent.groupBy("bucket").applyInArrow(teller(kind, width, hot), TOLD)
+
+
+def teller(kind: int, width: int = 8, hot: int = 1 << 32):
     key = np.dtype(f"u{width}")
 
     def reduce(table: pa.Table) -> pa.Table:
@@ -244,8 +247,7 @@ def tell(sent: DataFrame, kind: int, width: int = 8) -> DataFrame:
         if table["first"].null_count:
             by = np.argsort(keys, kind="stable")
         else:
-            first, second = (unplanes(table[c].to_pylist(), U64) for c in ("first", "second"))
-            by = np.lexsort((second, first, keys))
+            by = np.lexsort((*(unplanes(table[c].to_pylist(), U64) for c in ("third", "second", "first")), keys))
         keys = keys[by]
         new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         lead = np.zeros(len(keys), np.uint8)
@@ -253,7 +255,8 @@ def tell(sent: DataFrame, kind: int, width: int = 8) -> DataFrame:
         totals = np.repeat(np.minimum(np.add.reduceat(counts[by].astype(np.int64), new), 2**32 - 1).astype(np.uint32), np.diff(np.r_[new, len(keys)]))
         loose = np.zeros(len(keys), np.uint8)
         if not table["notes"].null_count:
-            loose[:] = unplanes(table["notes"].to_pylist(), np.uint32)[by] != totals
+            notes = unplanes(table["notes"].to_pylist(), np.uint32)[by]
+            loose[:] = np.where(notes == totals, 0, np.where(notes >= hot, 2, 1))
         keep = (totals >= 2) | (loose > 0)
         columns = [c[keep] for c in (keys, totals, lead, loose)]
         owner = owner[by][keep]
@@ -267,7 +270,7 @@ def tell(sent: DataFrame, kind: int, width: int = 8) -> DataFrame:
         bucket = table["bucket"][0].as_py()
         return pa.Table.from_arrays([pa.array(blocks[used]), *(pa.array(np.full(len(used), x, np.int32)) for x in (bucket, kind)), *packed], schema=TOLD_SCHEMA)
 
-    return sent.groupBy("bucket").applyInArrow(reduce, TOLD)
+    return reduce
 
 
 class Told:

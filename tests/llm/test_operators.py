@@ -120,18 +120,63 @@ def test_words_alike(spark):
     assert {i: zlib.crc32(x) for i, x in joined.items()} == crc
 
 
-def test_suffix(docs, rows, none):
+def bytes_removed(rows, length=100):
     seen, want = set(), []
-    for i, t in sorted(((r[0], (r[1] or "").encode()) for r in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1])):
+    for i, t in sorted(((r[0], (r[1] or "").encode()) for r in rows), key=lambda x: (x[0] is not None, x[0] or 0)):
         gone = bytearray(len(t))
-        for k in range(len(t) - 99):
-            if t[k : k + 100] in seen:
-                gone[k : k + 100] = b"\1" * 100
-            seen.add(t[k : k + 100])
+        for k in range(len(t) - length + 1):
+            if t[k : k + length] in seen:
+                gone[k : k + length] = b"\1" * length
+            seen.add(t[k : k + length])
         spans = len(re.findall(b"\1+", bytes(gone)))
         want.append((i, len(t), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(t, gone) if not g)).hexdigest()))
+    return want
+
+
+def test_suffix(docs, rows, none):
+    want = bytes_removed(rows)
     same([tuple(r) for r in suffix_dedup.digest(docs).collect()], want)
     assert suffix_dedup.digest(none).collect() == []
+    spans = suffix_dedup.remove_repeats(docs).collect()
+    same([(r.doc_id, r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in spans], want)
+
+
+@pytest.mark.parametrize("hot", [1, 3, 1 << 14])
+def test_suffix_passages(spark, hot):
+    """Passages that many texts have, with other text around them and periodic stretches, in many blocks; cores that are
+    hot and those that aren't give one result."""
+    r = random.Random(11)
+    make = lambda n: "".join(r.choice("abcdé \0") for _ in range(n))
+    shared = [make(r.randint(90, 260)) for _ in range(5)] + ["ab" * 100, "\0" * 150, "x" * 130]
+    rows = [(k, "".join(r.choice([make(r.randint(0, 80)), r.choice(shared)]) for _ in range(r.randint(0, 7)))) for k in range(150)]
+    found = suffix_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), hot=hot).collect()
+    same([tuple(x) for x in found], bytes_removed(rows))
+
+
+@pytest.mark.parametrize("length", [8, 9, 20, 100])
+def test_suffix_array(length):
+    """Against sorting the suffixes themselves."""
+    r = random.Random(length)
+    for letters in ("ab", "a", "\0\1a", "abcdefgh"):
+        data = "".join(r.choice(letters) for _ in range(300)).encode() * 2
+        start = [k for k in range(len(data) - length + 1) if r.random() < 0.8]
+        order, same_ = suffix_dedup.suffix_array(np.frombuffer(data, np.uint8), np.array(start), length)
+        want = sorted(range(len(start)), key=lambda k: (data[start[k] : start[k] + length], k))
+        assert order.tolist() == want
+        cut = [data[start[k] : start[k] + length] for k in want]
+        assert same_.tolist() == [k > 0 and cut[k] == cut[k - 1] for k in range(len(cut))]
+
+
+def test_suffix_repeated_ids(spark):
+    """Rows of one id are texts of their own: together they lose what the same texts lose under ids of their own."""
+    r = random.Random(13)
+    shared = ["".join(r.choice("abc ") for _ in range(150)) for _ in range(6)]
+    texts = ["".join(r.choice("def") for _ in range(40)) + r.choice(shared) for _ in range(60)]
+    order = {t: h % (1 << 64) for t, h in spark.createDataFrame([(t,) for t in texts], "text string").selectExpr("text", "xxhash64(text)").collect()}
+    want = bytes_removed(list(enumerate(sorted(texts, key=order.get))))
+    for one in (7, None):
+        found = suffix_dedup.digest(spark.createDataFrame([(one, t) for t in texts], "doc_id long, text string").repartition(3)).collect()
+        same([tuple(x)[1:] for x in found], [x[1:] for x in want])
 
 
 @pytest.mark.parametrize("bits", [1, 8, 14])
