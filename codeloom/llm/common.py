@@ -20,6 +20,8 @@ MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 MIX = 0xBF58476D1CE4E5B9
 BLOCK_BYTES = 2 << 20
 BUCKET_KEYS = 1 << 20
+#: Bytes of text up to which blocks and buckets have these sizes.
+PLAIN_BYTES = 30 << 30
 
 
 class Tables:
@@ -178,6 +180,20 @@ class RollingHash:
         return mix((self.prefix[end] - self.prefix[start]) * self.down[start])
 
 
+def growth(size: int) -> float:
+    """By how much blocks and buckets are larger for a corpus of that many bytes. A row of an exchange is that of a block
+    and a bucket, so if both grow with the root of the corpus, rows hold as many keys at any size."""
+    return max(1.0, (size / PLAIN_BYTES) ** 0.5)
+
+
+def block_count(size: int, least: int) -> int:
+    return max(least, int(size / (BLOCK_BYTES * growth(size))) + 1)
+
+
+def bucket_count(size: int, bytes_a_key: int, least: int) -> int:
+    return max(least, int(size / (bytes_a_key * BUCKET_KEYS * growth(size))) + 1)
+
+
 def corpus_bytes(docs: DataFrame) -> tuple[int, int]:
     """Rows and UTF-8 bytes of text of the whole table."""
     n, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text").cast("long"))).first()
@@ -186,8 +202,7 @@ def corpus_bytes(docs: DataFrame) -> tuple[int, int]:
 
 def blocked(docs: DataFrame, size: int, whole_rows: bool = False) -> DataFrame:
     """(block, doc_id, text, with whole_rows also row, a struct): rows dealt by a hash of id and text into blocks of about BLOCK_BYTES of text."""
-    parts = shuffle_parts(docs.sparkSession)
-    n = max(parts, size // BLOCK_BYTES + 1)
+    n = block_count(size, shuffle_parts(docs.sparkSession))
     return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct("*").alias("row")] if whole_rows else []))
 
 

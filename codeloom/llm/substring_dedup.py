@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from codeloom.llm.common import BUCKET_KEYS, MULTIPLIERS, SENT, SENT_SCHEMA, U64, RollingHash, Told, Words, blocked, corpus_bytes, cover, mix, send, shuffle_parts, spans_of, tell
+from codeloom.llm.common import MULTIPLIERS, SENT, SENT_SCHEMA, U64, RollingHash, Told, Words, blocked, bucket_count, corpus_bytes, cover, mix, send, shuffle_parts, spans_of, tell
 
 DIGEST = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 DIGEST_DDL = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -54,7 +54,7 @@ def _removed(docs: DataFrame, window: int, make, types: pa.Schema, ddl: str, who
     spark = docs.sparkSession
     _, size = corpus_bytes(docs)
     blocks = blocked(docs, size)
-    buckets = max(2 * shuffle_parts(spark), size // 6 // BUCKET_KEYS + 1)
+    buckets = bucket_count(size, 6, 2 * shuffle_parts(spark))
 
     def hashes(table: pa.Table) -> pa.Table:
         w = _Windows(table["text"].to_pylist(), window)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import BLOCK_BYTES, BUCKET_KEYS, MULTIPLIERS, SENT, SENT_SCHEMA, TOLD, TOLD_SCHEMA, U64, RollingHash, Told, corpus_bytes, cover, cut, mix, planes, send, shuffle_parts, spans_of, tell, teller, unplanes, utf8
+from codeloom.llm.common import MULTIPLIERS, SENT, SENT_SCHEMA, TOLD, TOLD_SCHEMA, U64, RollingHash, Told, block_count, bucket_count, corpus_bytes, cover, cut, mix, planes, send, shuffle_parts, spans_of, tell, teller, unplanes, utf8
 
 TRIGGER_BYTES, TRIGGER_EVERY, CORE_BITS, HOT = 8, 12, 32, 1 << 14
 DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
@@ -216,8 +216,8 @@ def _run(docs: DataFrame, length: int, make, types: pa.Schema, core_bits: int =
     spark = docs.sparkSession
     _, size = corpus_bytes(docs)
     least = shuffle_parts(spark)
-    blocks = _salted(docs).withColumn("block", F.pmod(F.xxhash64("doc_id", "salt"), F.lit(max(least, size // BLOCK_BYTES + 1))))
-    many, few = max(least, size // 10 // BUCKET_KEYS + 1), max(least, size // 40 // BUCKET_KEYS + 1)
+    blocks = _salted(docs).withColumn("block", F.pmod(F.xxhash64("doc_id", "salt"), F.lit(block_count(size, least))))
+    many, few = bucket_count(size, 10, least), bucket_count(size, 40, least)
     empty = SENT_SCHEMA.empty_table
 
     def cores(table: pa.Table) -> pa.Table:
