@@ -3,8 +3,8 @@
 Heuristic labellers vote good, bad or nothing on every document. The counts of vote patterns over the whole corpus (at
 most 3^labellers of them) go to expectation-maximisation of a latent-class model: each labeller has its own
 probabilities of each vote for good and bad documents, the posterior of a pattern is its label. The thresholds are set so
-that a bad vote on a good document is an exception: its probability is held under ``MOST_FALSE``, else the two classes
-of the model could be two kinds of bad documents or two languages. The posteriors of a
+that a bad vote on a good document is an exception: its probability is held under ``MOST_FALSE`` after each maximisation (which is then a maximum under that
+bound), else the two classes of the model could be two kinds of bad documents or two languages. The posteriors of a
 bounded seeded sample (``sample`` documents expected, never over twice that) train a logistic scorer over hashed
 features: shapes of words, pairs of neighbouring shapes, and whether a word repeats the one before. The scorer's verdict
 on every document is the result.

@@ -3,6 +3,7 @@ extra columns with clashing names; and on an empty table."""
 
 import hashlib
 import html
+import math
 import random
 import re
 import zlib
@@ -252,9 +253,15 @@ def test_packing(docs, rows, none):
             assert r.offset == at
             at += r.length
         assert at <= 1024
-    for k, r in enumerate(rows[:3]):
-        joined = b"".join(p.ids for p in sorted(pieces[r[0]], key=lambda p: p.start))
-        assert joined == np.array([*reference_ids(r[1]), 0], "<u4").tobytes()
+    times = Counter(r[0] for r in rows)
+    for r in rows:
+        if times[r[0]] == 1:
+            joined = b"".join(p.ids for p in sorted(pieces[r[0]], key=lambda p: p.start))
+            assert joined == np.array([*reference_ids(r[1]), 0], "<u4").tobytes() and {p.doc_tokens for p in pieces[r[0]]} == {len(joined) // 4}
+    whole = sum(sum(p.length for p in s) == 1024 for s in sequences.values())
+    rest = sorted(sum(p.length for p in s) for s in sequences.values() if sum(p.length for p in s) < 1024)
+    assert whole * 1024 + sum(rest) == sum(p.length for s in sequences.values() for p in s)
+    assert sum(x & (x - 1) > 0 for x in rest) <= docs.rdd.getNumPartitions()
     assert sum(r.length for r in found) == sum(len(reference_ids(r[1])) + 1 for r in rows)
     assert packing.pack(none, queries.tokenizer_path()).collect() == []
 
@@ -375,6 +382,48 @@ def test_quality(spark, docs, none):
     assert quality_model.keep(docs).columns == docs.columns
 
 
+def test_estimate():
+    """Against expectation and maximisation over single documents."""
+    r = random.Random(4)
+    n = len(quality_model.LABELLERS)
+    docs = [tuple(r.choices(range(3), [3, 6, 1] if r.random() < 0.8 else [2, 1, 6])[0] for _ in range(n)) for _ in range(400)]
+    good = [0.1 if 2 in d else 0.9 for d in docs]
+    for _ in range(quality_model.ROUNDS):
+        prior = [(sum(1 - g for g in good) + 1) / (len(docs) + 2), (sum(good) + 1) / (len(docs) + 2)]
+        tables = []
+        for j in range(n):
+            table = [[sum((g if side else 1 - g) for d, g in zip(docs, good) if d[j] == v) + 0.5 for v in range(3)] for side in (0, 1)]
+            table = [[x / sum(row) for x in row] for row in table]
+            table[1][2] = min(table[1][2], quality_model.MOST_FALSE)
+            tables.append(table)
+        both = [[prior[side] * math.prod(tables[j][side][d[j]] for j in range(n)) for side in (0, 1)] for d in docs]
+        good = [b / (a + b) for a, b in both]
+    code = lambda d: sum(v * 3**j for j, v in enumerate(d))
+    found, _ = quality_model.estimate(Counter(map(code, docs)))
+    assert all(abs(found[code(d)] - g) < 1e-9 for d, g in zip(docs, good))
+
+
+def test_train():
+    """The scorer's loss is near the minimum that Newton's method finds."""
+    r = np.random.default_rng(5)
+    x = r.random((300, 6)).astype(np.float32)
+    y = np.clip((x @ np.array([3, -3, 1, 0, 0, 0]) > 0.3).astype(float), 0.05, 0.95)
+    w = quality_model.train(x, y, 4000)
+    full = np.hstack([x, np.ones((300, 1))])
+    share = y.mean()
+
+    def loss(v):
+        p = np.clip(1 / (1 + np.exp(-(full @ v))), 1e-12, 1 - 1e-12)
+        return -np.mean((y * np.log(p) + (1 - y) * np.log(1 - p)) * (y / share + (1 - y) / (1 - share))) + 5e-6 * (v @ v)
+
+    best, weight = np.zeros(7), y / share + (1 - y) / (1 - share)
+    for _ in range(50):  # Newton's method
+        p = 1 / (1 + np.exp(-(full @ best)))
+        hessian = (full * (weight * p * (1 - p))[:, None]).T @ full / len(x) + 1e-5 * np.eye(7)
+        best = best - np.linalg.solve(hessian, full.T @ ((p - y) * weight) / len(x) + 1e-5 * best)
+    assert loss(best) <= loss(w) < 1.01 * loss(best) < 0.75 * loss(np.zeros(7))
+
+
 def test_quality_rare_class(spark):
     """Three bad documents among 2,000: the scorer is trained all the same."""
     r = random.Random(6)
@@ -432,6 +481,47 @@ def test_html_pages():
     assert text(f"<header><p>{long[:60]}</p></header><div><p>{long}</p></div>") == long
 
 
+def test_html_generated():
+    """Pages made of an article and everything that isn't one, in many orders: the article comes back, block by block."""
+    r = random.Random(21)
+    words = lambda n: " ".join(r.choice(["alpha", "b&amp;c", "<b>bold</b>", "déjà", "line<br>break", "<a href='x'>link</a>"]) for _ in range(n))
+    plain = lambda t: " ".join(html.unescape(re.sub(r"<[^>]*>", "", t.replace("<br>", " "))).split())
+    around = [
+        lambda: f"<nav><ul>{''.join(f'<li><a href=/{k}>{words(2)}</a></li>' for k in range(5))}</ul></nav>", lambda: f"<div class='ad'>{words(6)}</div>", lambda: f"<header><p>{words(8)}</p></header>",
+        lambda: f"<footer>&copy; {words(8)}</footer>", lambda: f"<aside>{words(20)}</aside>", lambda: f"<form><label>{words(3)}</label><input></form>", lambda: f"<script>var x = '<p>{words(30)}</p>';</script>",
+        lambda: f"<div id='comments'><p>{words(25)}</p><p>{words(25)}</p></div>", lambda: "<style>p { color: red }</style><!-- <p>none</p> -->", lambda: f"<div class='cookie-notice'>{words(9)}</div>",
+    ]
+    for _ in range(60):
+        blocks = [f"<h1>{words(4)}</h1>", *(f"<p>{words(r.randint(15, 60))}{r.choice(['</p>', ''])}" for _ in range(r.randint(1, 8)))]
+        before, after = ([r.choice(around)() for _ in range(r.randint(0, 4))] for _ in range(2))
+        page = "<html><body>" + "".join(before) + "<article>" + "".join(blocks) + "</article>" + "".join(after) + "</body></html>"
+        assert html_text.main_text(page) == "\n\n".join(map(plain, blocks)), page
+
+
+def test_pipeline_stages(spark, rows):
+    """Each stage against brute force on what it is given."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    own = {r[0]: r[:5] for r in rows if r[0] is not None}
+    start = spark.createDataFrame([tuple(r) for r in own.values()], columns)
+    ids = lambda df: sorted(r.doc_id for r in df.collect())
+    assert ids(stages["quality"](spark, start, "")) == sorted(r.doc_id for r in quality_model.classify(start).collect() if r.kept)
+    sets = [(i, shingles((r[1] or "").encode().lower(), 5)) for i, r in own.items()]
+    assert ids(stages["near_duplicates"](spark, start, "")) == sorted(i for (i, _), c in zip(sets, components(sets, 80)) if c == i)
+    gone = {w[0]: w for w in windows_removed(list(own.values()))}
+    cut_ = {r.doc_id: r for r in stages["substrings"](spark, start, "").collect()}
+    assert sorted(cut_) == sorted(i for i, w in gone.items() if not w[1] or w[2] < w[1])
+    for i, r in cut_.items():
+        assert hashlib.sha256(b" ".join((r.text or "").encode().split())).hexdigest() == gone[i][3]
+        assert r.text == own[i][1] if not gone[i][2] else r.n_chars == len(r.text)
+    times = Counter(r.doc_id for r in stages["mixed"](spark, start, "").collect())
+    assert times == Counter({i: n for i, size, _, _, taken in mixed(list(own.values())) if size and (n := int((taken + size / 2) // size))})
+    pieces = stages["packed"](spark, start, "").collect()
+    assert sum(p.length for p in pieces) == sum(len(reference_ids(r[1])) + 1 for r in own.values())
+
+
 def test_pipeline(spark, docs, none):
     import corpus_pipeline
 
