@@ -48,7 +48,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("substrings", substrings), ("mixed", mixed), ("packed", packed)]
-#: No stage but the mix can be said in SQL; tests compare each with a brute-force version.
+#: The first stage and the last cannot be said in SQL, so run() can't; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
