@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from codeloom.llm.tokens import encoder
 
 TIERS = (128, 256, 512, 1024)
-POOL_DOCS, GROUP_SEQUENCES, LEAST = 512, 8, 16
+CALL_DOCS, POOL_DOCS, GROUP_SEQUENCES, LEAST = 4096, 512, 8, 16
 PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("tier", pa.int32()), ("step_group", pa.int64())])
 PIECE_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
@@ -137,15 +137,17 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, end_id
 
         for batch in batches:
             ids, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
-            for k in range(0, len(ids), POOL_DOCS):
-                done = []
-                for doc_id, x in zip(ids[k : k + POOL_DOCS], enc.encode(texts[k : k + POOL_DOCS])):
-                    live[turn] = [doc_id, np.append(x, np.uint32(end_id)).astype("<u4"), 0]
-                    done += packer.add(turn, len(x) + 1)
-                    turn += 1
-                done += packer.windows()
-                if done:
-                    yield out(done)
+            for k in range(0, len(ids), CALL_DOCS):
+                encoded = enc.encode(texts[k : k + CALL_DOCS])
+                for pool in range(0, len(encoded), POOL_DOCS):
+                    done = []
+                    for doc_id, x in zip(ids[k + pool : k + pool + POOL_DOCS], encoded[pool : pool + POOL_DOCS]):
+                        live[turn] = [doc_id, np.append(x, np.uint32(end_id)).astype("<u4"), 0]
+                        done += packer.add(turn, len(x) + 1)
+                        turn += 1
+                    done += packer.windows()
+                    if done:
+                        yield out(done)
         if done := list(packer.windows(last=True)):
             yield out(done)
 

@@ -64,8 +64,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2) -> list
                 out = fs.open_output_stream(f"{root}/{name}.ids")
             ids.append(np.array([NULL_ID if x is None else x for x in batch["doc_id"].to_pylist()], "<i8"))
             texts = batch["text"].to_pylist()
-            for k in range(0, len(texts), 256):
-                encoded = enc.encode(texts[k : k + 256])
+            for k in range(0, len(texts), READ_DOCS):
+                encoded = enc.encode(texts[k : k + READ_DOCS])
                 lengths.append(np.array([len(x) + 1 for x in encoded], np.int64))
                 out.write(b"".join(y for x in encoded for y in (x.astype(kind).tobytes(), np.array([end_id], kind).tobytes())))
         if out is None:

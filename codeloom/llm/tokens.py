@@ -19,7 +19,7 @@ from codeloom.llm.common import numbered, utf8
 _OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-MOST_CHUNKS, STEP_BYTES, JOINED = 1 << 18, 1 << 20, 256
+MOST_CHUNKS, STEP_BYTES, JOINED = 1 << 19, 4 << 20, 256
 
 
 class Encoder:
@@ -48,9 +48,9 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x, np.uint32) for x in self._ids(texts)]
 
-    def _learn(self, chunks: list[bytes]) -> None:
+    def _learn(self, chunks: list[bytes]) -> list[int]:
         """Encode chunks joined into longer texts, which is exact as all but the first start with white space, and cut
-        the ids where the bytes of the chunks end."""
+        the ids where the bytes of the chunks end. Their places in the table."""
         joins = [bool(c) and _SPACE[c[0]] and bool(c.strip()) for c in chunks]
         by = sorted(range(len(chunks)), key=joins.__getitem__)
         alone = len(by) - sum(joins)
@@ -61,9 +61,13 @@ class Encoder:
         while self.used + len(ids) > len(self.flat):
             self.flat = np.r_[self.flat, np.zeros_like(self.flat)]
         self.flat[self.used : self.used + len(ids)] = ids
+        places = [0] * len(by)
+        for at, k in enumerate(by, len(self.start)):
+            places[k] = at
         self.slot.update(zip(chunks, range(len(self.start), len(self.start) + len(chunks))))
         self.start, self.length = np.r_[self.start, self.used + cuts[:-1]], np.r_[self.length, np.diff(cuts)]
         self.used += len(ids)
+        return places
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
@@ -90,13 +94,15 @@ class Encoder:
             begins[edges[:-1][edges[:-1] < len(data)]] = True
             start = np.flatnonzero(begins)
             back, chunks = numbered(joined, np.r_[start[1:], len(data)])
-            new = [c for c in chunks if c not in self.slot]
-            if len(self.slot) + len(new) > MOST_CHUNKS:
+            slots = list(map(self.slot.get, chunks))
+            new = [k for k, at in enumerate(slots) if at is None]
+            if new and len(self.slot) + len(new) > MOST_CHUNKS:
                 self._reset()
-                new = chunks
+                new = range(len(chunks))
             if new:
-                self._learn(new)
-            slot = np.fromiter(map(self.slot.__getitem__, chunks), np.int64, len(chunks))[back]
+                for k, at in zip(new, self._learn([chunks[k] for k in new])):
+                    slots[k] = at
+            slot = np.array(slots, np.int64)[back]
             length = self.length[slot]
             ends = np.cumsum(length)
             ids = self.flat[np.repeat(self.start[slot] - ends + length, length) + np.arange(ends[-1])]
