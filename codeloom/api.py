@@ -129,7 +129,7 @@ class Project:
             raise ValueError(f"unknown language: {path}")
         with open(f"{self.root}/{path}", encoding="utf-8", errors="replace") as f:
             text = f.read()
-        short = parsers.skeleton(parsers.Outline(text, language))
+        short = parsers.parse(path, text, language)["skeleton"]
         return {"path": path, "language": language, "skeleton": short, "stats": skeleton_stats(text, short)}
 
     def repository(self) -> Repository | None:

@@ -145,3 +145,23 @@ def test_empty_and_broken():
     for language in ("python", "typescript", "javascript", "rust", "go"):
         for text in ("", "\n", "}", "{{{", '"', "'''", "class", "def", "fn", "func (", "type (", "import (", "use a::{", "/*", "`"):
             parse("a/b", text, language)
+
+
+def test_registered_language(spark):
+    """A language that is added to the registry is found, parsed by the tasks, and can be taken away again."""
+    from codeloom import parsers
+    from codeloom.functions.fixed import LANGUAGE_OF
+
+    def ini(path, text, go_module, packages):
+        rows = [(line[1:-1], n) for n, line in enumerate(text.split("\n"), 1) if line.startswith("[")]
+        fields = {k: None for k in ("signature", "parent", "visibility", "exported", "start_byte", "end_byte")}
+        return {"symbols": [{**fields, "name": name, "kind": "module", "start_line": n, "end_line": n} for name, n in rows]}
+
+    parsers.register("ini", [".ini"], ini)
+    try:
+        assert scan.language_of("a/b.INI") == "ini"
+        sources = spark.createDataFrame([("b.ini", "ini", bytearray(b"[one]\nx = 1\n[two]\n")), ("c.x", "none", bytearray(b""))], "path string, language string, content binary")
+        found = parsers.parse_sources(sources).collect()
+        assert [(s.name, s.start_line) for s in found[0].symbols] == [("one", 1), ("two", 3)] and len(found) == 1 and found[0].imports == []
+    finally:
+        del parsers.PARSERS["ini"], LANGUAGE_OF["ini"]
