@@ -108,7 +108,7 @@ _star("search_kind", lambda g: lookup.search(g, "order", "fn", 30), "SELECT s.id
 _star("files_like", lambda g: lookup.files_like(g, "models/", 20), "SELECT id, path, language, size FROM files WHERE path ILIKE '%models/%' ORDER BY path LIMIT 20")
 _star("stats", lambda g: g.files.agg(F.count(F.lit(1)).alias("files")).crossJoin(g.symbols.agg(F.count(F.lit(1)).alias("symbols"))).crossJoin(g.dependencies.agg(F.count(F.lit(1)).alias("dependencies"))), "SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM symbols) AS symbols, (SELECT count(*) FROM deps) AS dependencies")
 _star("symbols_of_file", lambda g: lookup.symbols_where(g, file_id=START), f"SELECT id, name, kind, parent, start_line FROM symbols WHERE file_id = {START}")
-_star("symbols_by_name", lambda g: lookup.symbols_where(g, 10, name="BuildingUser4"), "SELECT id, name, kind, parent, start_line FROM symbols WHERE name = 'BuildingUser4' ORDER BY start_line, id LIMIT 10")
+_star("symbols_by_name", lambda g: lookup.symbols_where(g, 10, name="MachineryUser84"), "SELECT id, name, kind, parent, start_line FROM symbols WHERE name = 'MachineryUser84' ORDER BY start_line, id LIMIT 10")
 _star("qualified_lookup", lambda g: lookup.symbols_where(g, 200, parent="Nation3", kind="field"), "SELECT id, name, kind, parent, start_line FROM symbols WHERE parent = 'Nation3' AND kind = 'field' ORDER BY start_line, id LIMIT 200")
 _star("methods_of", lambda g: lookup.symbols_where(g, parent="Nation6", kind=["method", "field"]), "SELECT id, name, kind, parent, start_line FROM symbols WHERE parent = 'Nation6' AND kind IN ('method', 'field')")
 _star("deps_outgoing", lambda g: lookup.outgoing(g, START), f"SELECT path, imported_symbol FROM deps JOIN files ON id = target WHERE source = {START}")
@@ -129,7 +129,7 @@ _star("symbol_references", lambda g: lookup.references(g, g.symbols.filter(_METH
 _star("symbol_members", lambda g: lookup.details(g, g.symbols.filter(_METHODS))["methods"], f"SELECT s.id, m.id AS member, m.name, m.kind, m.parent, m.signature, m.start_line FROM symbols s JOIN symbols m ON m.file_id = s.file_id AND m.parent = coalesce(s.parent, s.name) WHERE s.{_METHODS} AND m.kind IN ('method', 'field')")
 _star("symbol_dependencies", lambda g: lookup.details(g, g.symbols.filter(_METHODS))["dependencies"], f"SELECT s.id, path, imported_symbol FROM symbols s JOIN deps ON source = file_id JOIN (SELECT id AS fid, path FROM files) ON fid = target WHERE s.{_METHODS}")
 _star("file_by_path", lambda g: g.files.join(g.files.filter(F.col("id") % 50 == 1).select("path"), "path", "left_semi").select("id", "path", "size"), "SELECT id, path, size FROM files WHERE id % 50 = 1")
-_star("parent_and_name", lambda g: lookup.symbols_where(g, 200, parent="Nation3", name=[f"BuildingUser{k}" for k in range(2000)]), "SELECT id, name, kind, parent, start_line FROM symbols WHERE parent = 'Nation3' AND regexp_full_match(name, 'BuildingUser[0-9]+') AND CAST(name[13:] AS INT) < 2000 ORDER BY start_line, id LIMIT 200")
+_star("parent_and_name", lambda g: lookup.symbols_where(g, 200, parent=[f"Nation{n}" for n in range(25)], name=[f"BuildingUser{k}" for k in range(2000)]), "SELECT id, name, kind, parent, start_line FROM symbols WHERE parent IS NOT NULL AND regexp_full_match(name, 'BuildingUser[0-9]+') AND CAST(name[13:] AS INT) < 2000 ORDER BY start_line, id LIMIT 200")
 _star("impact_count", lambda g: g.files.filter(F.col("id") == START).select("id", F.lit(lookup.reachable_counts(g, START, 3)[1]).cast("long").alias("reachable")), f"SELECT CAST({START} AS BIGINT) AS id, count(*) FILTER (distance > 0) AS reachable FROM seen", f"{STAR}, {_BFS}", True)
 _star("impact_deep", lambda g: lookup.reachable(g, START, 12).groupBy("distance").agg(F.count(F.lit(1)).alias("n")), "SELECT distance, count(*) AS n FROM seen WHERE distance > 0 GROUP BY distance", f"{STAR}, {_BFS.replace('< 3', '< 12')}", True)
 _star("word_tokens", lambda g: g.symbols.select("id", F.concat_ws(" ", T.name_words(F.col("name"))).alias("words")), f"SELECT id, array_to_string({_NW}, ' ') AS words FROM symbols")
@@ -198,9 +198,9 @@ def _target_sql(t: str) -> str:
 
 
 _star("resolve_target_path", lambda g: lookup.resolve_target(g, "models/"), _target_sql("models/"))
-_star("resolve_target_symbol", lambda g: lookup.resolve_target(g, "BuildingUser4"), _target_sql("BuildingUser4"))
+_star("resolve_target_symbol", lambda g: lookup.resolve_target(g, "MachineryUser84"), _target_sql("MachineryUser84"))
 _star("resolve_file", lambda g: lookup.resolve_file(g, "core/"), "SELECT path, id FROM (SELECT * FROM files WHERE path ILIKE '%core/%' ORDER BY path LIMIT 20) WHERE contains(path, 'core/') ORDER BY path LIMIT 1")
-_star("resolve_symbol", lambda g: lookup.resolve_symbol(g, "BuildingUser4"), "SELECT s.id, file_id, name, kind, parent, signature, start_line, path FROM (SELECT * FROM symbols WHERE name = 'BuildingUser4' ORDER BY start_line, id LIMIT 200) s JOIN files f ON f.id = file_id")
+_star("resolve_symbol", lambda g: lookup.resolve_symbol(g, "MachineryUser84"), "SELECT s.id, file_id, name, kind, parent, signature, start_line, path FROM (SELECT * FROM symbols WHERE name = 'MachineryUser84' ORDER BY start_line, id LIMIT 200) s JOIN files f ON f.id = file_id")
 _star("diff_impact", lambda g: lookup.diff_impact(g, g.files.filter(F.col("id") == HUB)), f"SELECT DISTINCT path FROM deps JOIN files ON id = source WHERE target = {HUB} ORDER BY path LIMIT 20")
 _HOPS = " UNION ALL ".join(f"SELECT file_id, score, 1 AS follow FROM ({_ORACLE[n].split(_ALL, 1)[1]})" for n in ("dep_follow", "dependent_follow"))
 _RANKED = f"ranked AS (SELECT file_id, path, score, follow = 1 AS follow_only FROM (SELECT file_id, max(score) AS score, min(follow) AS follow FROM (SELECT file_id, round(score, 6) AS score, 0 AS follow FROM rated UNION ALL {_HOPS}) GROUP BY file_id) JOIN (SELECT id, path FROM files) ON id = file_id)"
