@@ -41,11 +41,12 @@ def resolve(edges: DataFrame, files: DataFrame) -> DataFrame:
     candidates, with target_path (null if none) and resolution: internal, external or unresolved.
 
     Each candidate meets the files by key, then the best hit of an edge wins: candidate first, then ending, then path.
-    A key that many files share (a Go package) keeps only its best file before the join."""
+    A key that many files share (a Go package) keeps only its best file before the join. Spark's estimate of the names
+    is that of the files' compressed columns, so the hint keeps the table of names from being sent through the driver."""
     keys = file_keys(files).groupBy("key", "mode", "bare").agg(F.min(F.struct("rank", "path")).alias("best"))
     tries = edges.select("path", "n", "mode", F.posexplode("candidates").alias("place", "key"))
     has_ending = F.regexp_extract("key", r"\.([^./]+)$", 1).isin(PROBED_ENDINGS)
-    hits = tries.join(keys, ["key", "mode"]).filter(~F.col("bare") | ~has_ending)
+    hits = tries.join(keys.hint("merge"), ["key", "mode"]).filter(~F.col("bare") | ~has_ending)
     best = hits.groupBy("path", "n").agg(F.min(F.struct((F.col("place") * CANDIDATE + F.col("best.rank")).alias("rank"), F.col("best.path").alias("target"))).alias("hit"))
     out = edges.join(best, ["path", "n"], "left").withColumn("target_path", F.col("hit.target"))
     return out.withColumn("resolution", F.when(F.col("target_path").isNotNull(), "internal").otherwise(F.col("fallback"))).drop("hit", "candidates", "mode", "fallback")

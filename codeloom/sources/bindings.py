@@ -88,10 +88,11 @@ def function_text(hidden: bool = False) -> str:
 
 def sources(spark: SparkSession, sf_dir: str) -> tuple[Graph, DataFrame]:
     """The star relations written out as source texts: path, language, content. Every file imports the files that it
-    depends on and defines its symbols as functions."""
+    depends on and defines its symbols as functions. The tables of files grow with the input and are larger than Spark
+    estimates, so they are merged and not broadcast."""
     g = star(spark, sf_dir)
-    own = g.files.select("id", "path", "language")
-    target = g.files.select(F.col("id").alias("target_file_id"), F.regexp_replace("path", r"\.[a-z]+$", "").alias("stem"))
+    own = g.files.select("id", "path", "language").hint("merge")
+    target = g.files.select(F.col("id").alias("target_file_id"), F.regexp_replace("path", r"\.[a-z]+$", "").alias("stem")).hint("merge")
     pairs = g.edges().select(F.col("source_file_id").alias("id"), "target_file_id").distinct()
     lines = pairs.join(target, "target_file_id").join(own, "id").withColumn("line", F.expr(import_line())).groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("line")), "").alias("imports"))
     named = g.symbols.select(F.col("file_id").alias("id"), "name").join(own, "id").withColumn("body", F.expr(function_text()))

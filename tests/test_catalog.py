@@ -30,3 +30,9 @@ def test_oracle(spark, sf_dir, duck, name):
     found = canon([tuple(r) for r in df.collect()], df.columns)
     assert found == canon(want.fetchall(), names)
     assert found, "a query that compares no rows shows nothing"
+
+
+def test_files_are_not_broadcast(spark, sf_dir):
+    """The tables of files and of their names grow with the input: joins with them must not pass through the driver."""
+    plan = catalog.queries()["import_resolution"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") >= 4 and "BroadcastHashJoin" not in plan
