@@ -28,6 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,9 +108,19 @@ def sketches(docs: DataFrame, size: int, rows: int, bands: int) -> DataFrame:
     return _slim(docs).mapInArrow(run, SKETCH_DDL)
 
 
+def thinned(links: DataFrame) -> DataFrame:
+    """Fewer links (a, b) with the same components. Of each key's links to lesser keys, the one to the least stays; the
+    others go from that least key to the other ends, and meet there those of the key's neighbours. What is collected is
+    at most what one key has: one link for each task that saw it."""
+    ends = links.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).groupBy("b").agg(F.sort_array(F.collect_set("a")).alias("ends"))
+    turned = F.transform("ends", lambda x, k: F.when(k == 0, F.col("b")).otherwise(x))
+    return ends.select(F.col("ends")[0].alias("a"), F.explode(turned).alias("b")).distinct()
+
+
 def components(links: DataFrame, cut) -> DataFrame:
     """(key, label) of all keys in links (a, b): the label is the least key of the component. cut: keeps an intermediate
     table."""
+    links = thinned(links)
     edges = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
     labels = cut(edges.groupBy(F.col("a").alias("key")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
     while True:  # labels spread to neighbours, then to the label's label
@@ -165,6 +176,15 @@ def _edges_of(keys: pa.Array, label: np.ndarray) -> pa.Table:
     return pa.Table.from_arrays([keys.take(pa.array(label[other])), keys.take(pa.array(other))], schema=PAIR)
 
 
+def _ranked(column: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """The distinct keys in order, and the place of each row's key: the tasks that see a group then agree on its centre."""
+    keys = column.combine_chunks().dictionary_encode()
+    order = pc.sort_indices(keys.dictionary).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return keys.dictionary.take(pa.array(order)), place[keys.indices.to_numpy()]
+
+
 def _groups(*columns: pa.ChunkedArray) -> list[np.ndarray]:
     """The row numbers of each distinct row of integer columns."""
     numbers = [c.to_numpy() for c in columns]
@@ -220,10 +240,9 @@ def _met(percent: int, hashes: int, miss: float):
                 label = _grown(m, lambda x, others, rows=rows: alike(rows[x], rows[others]))
                 found.append((rows, rows[label]))
         flush()
-        keys = table["key"].combine_chunks().dictionary_encode()
-        number = keys.indices.to_numpy()
+        keys, number = _ranked(table["key"])
         a, b = (number[np.concatenate([x[side] for x in found])] if found else number[:0] for side in (0, 1))
-        return _edges_of(keys.dictionary, _connected(len(keys.dictionary), a, b))
+        return _edges_of(keys, _connected(len(keys), a, b))
 
     return run
 

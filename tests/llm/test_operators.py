@@ -215,6 +215,38 @@ def test_near_large_group(spark, bucket, chunk):
     same([(x.doc_id, x.component_id) for x in found], want)
 
 
+def test_near_forests_meet(spark, monkeypatch):
+    """Copies that meet in every band: the links of all tasks together are few for each text, not one for each task."""
+    r = random.Random(4)
+    base = [f"w{r.randint(0, 900)}" for _ in range(200)]
+    rows = [(k, " ".join([*base[: k % 190], f"x{k}", *base[k % 190 :]])) for k in range(300)]
+    made, whole = [], near_dedup.components
+
+    def counted(links, cut):
+        def kept(df):
+            made.append((df.columns, (out := cut(df)).count()))
+            return out
+
+        return whole(links, kept)
+
+    monkeypatch.setattr(near_dedup, "components", counted)
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, 6, 30).collect()
+    assert {x.component_id for x in found} == {0}
+    assert max(n for columns, n in made if columns == ["a", "b"]) <= 2 * 1.2 * 300  # both ways
+
+
+def test_thinned(spark):
+    """Any links: the components stay, and no link is added."""
+    r = random.Random(6)
+    for n in (5, 40):
+        links = {(r.randrange(40), r.randrange(40)) for _ in range(n)}
+        df = spark.createDataFrame([(b"%03d" % a, b"%03d" % b) for a, b in links if a != b], "a binary, b binary")
+        few = [(int(x.a), int(x.b)) for x in near_dedup.thinned(df).collect()]
+        assert len(few) <= len(links)
+        ends = lambda pairs: near_dedup._connected(40, *np.array(pairs).T).tolist()
+        assert ends(few) == ends([x for x in links if x[0] != x[1]])
+
+
 def test_least_matches():
     assert near_dedup.least_matches(30, 85, 1e-9) < near_dedup.least_matches(30, 85, 1e-3) < 30
 
