@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from functools import cached_property
 
@@ -43,6 +45,28 @@ class Tables:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: What a worker process keeps from task to task, by the name that its owner gives to ``tidy``.
+KEPT: dict[str, dict] = {}
+_TIDIED: list[int] = [-1]
+
+
+def tidy(own: str = "") -> None:
+    """As a task begins: a worker serves operators one after another, so what others kept is dropped, and memory that
+    earlier tasks have freed goes back to the system and does not count beside that of this one."""
+    from pyspark import TaskContext
+
+    task = TaskContext.get()
+    if task is not None and _TIDIED[0] != (now := task.taskAttemptId()):
+        _TIDIED[0] = now
+        for name, kept in KEPT.items():
+            if name != own:
+                kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+            trim(0)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import MIX, MULTIPLIERS, Tables, U64, Words, mix, shuffle_parts, spans_of, split_words
+from codeloom.llm.common import MIX, MULTIPLIERS, Tables, U64, Words, mix, shuffle_parts, spans_of, split_words, tidy
 
 SKETCH = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("key", pa.binary()), ("n_shingles", pa.int64()), ("size", pa.int64()), ("signature", pa.binary()), ("bits", pa.binary()), ("bands", pa.list_(pa.int64()))])
 SKETCH_DDL = "doc_id long, mark long, key binary, n_shingles long, size long, signature binary, bits binary, bands array<long>"
@@ -95,6 +95,7 @@ def sketches(docs: DataFrame, size: int, rows: int, bands: int) -> DataFrame:
     b = random.integers(0, 1 << 32, rows * bands, dtype=np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             ids, marks, texts = (batch[c].to_pylist() for c in ("doc_id", "mark", "text"))
             begin = held = 0
@@ -202,6 +203,7 @@ def _met(percent: int, hashes: int, miss: float):
     most = [n - least_matches(n, 50 + percent / 2, miss) for n in (min(hashes, 64 * (k + 1)) for k in range(words))]  # that may differ
 
     def run(table: pa.Table) -> pa.Table:
+        tidy()
         bits = np.frombuffer(b"".join(table["bits"].to_pylist()), U64).reshape(-1, words)
 
         def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -297,6 +299,7 @@ def _linked(size: int, percent: int, miss: float):
     """Links within the chunks of a task, as spanning forests."""
 
     def run(table: pa.Table) -> pa.Table:
+        tidy()
         table = _distinct(table)
         whole = _Set(table, size, percent, miss)
         label = np.arange(table.num_rows)
@@ -311,6 +314,7 @@ def _joined(size: int, percent: int, miss: float):
     """Links between texts outside the largest part of their group and a chunk of the group, one for each two parts."""
 
     def run(table: pa.Table) -> pa.Table:
+        tidy()
         table = _distinct(table, "outside", "i", "j")
         whole = _Set(table, size, percent, miss)
         part = table["label"].combine_chunks().dictionary_encode().indices.to_numpy().copy()

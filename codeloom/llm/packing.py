@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.llm.common import tidy
 from codeloom.llm.tokens import encoder
 
 TIERS = (128, 256, 512, 1024)
@@ -113,6 +114,7 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, end_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        tidy("encoders")
         enc, packer = encoder(tokenizer), Packer(tiers)
         base = TaskContext.get().partitionId() << 32
         number = steps = turn = 0

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import MULTIPLIERS, U64, RollingHash, Words, mix
+from codeloom.llm.common import MULTIPLIERS, U64, RollingHash, Words, mix, tidy
 
 #: Labellers: a measure, the value from which the vote is bad, and the value up to which it is good.
 LABELLERS = (
@@ -112,6 +112,7 @@ class _Text:
 
 def _stepped(make, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             texts = batch["text"].to_pylist()
             begin = held = 0
@@ -229,6 +230,7 @@ def _with_rows(rows: DataFrame, score, fields: list) -> DataFrame:
     schema = rows.select("row.*").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             texts = batch["text"].to_pylist()
             begin = held = 0

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from codeloom.llm.common import MULTIPLIERS, SENT, SENT_SCHEMA, U64, RollingHash, Told, Words, blocked, bucket_count, corpus_bytes, cover, mix, send, shuffle_parts, spans_of, tell
+from codeloom.llm.common import MULTIPLIERS, SENT, SENT_SCHEMA, U64, RollingHash, Told, Words, blocked, bucket_count, corpus_bytes, cover, mix, send, shuffle_parts, spans_of, tell, tidy
 
 DIGEST = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 DIGEST_DDL = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -57,10 +57,12 @@ def _removed(docs: DataFrame, window: int, make, types: pa.Schema, ddl: str, who
     buckets = bucket_count(size, 6, 2 * shuffle_parts(spark))
 
     def hashes(table: pa.Table) -> pa.Table:
+        tidy()
         w = _Windows(table["text"].to_pylist(), window)
         return send(table["block"][0].as_py(), w.keys, w.deal(), buckets) if len(w.keys) else SENT_SCHEMA.empty_table()
 
     def remove(table: pa.Table, told: pa.Table) -> pa.Table:
+        tidy()
         w = _Windows(table["text"].to_pylist(), window)
         at = w.at[Told(told).look(0, w.keys)[0]]
         gone = cover(int(w.first[-1]), at, at + window)

@@ -13,7 +13,7 @@ import re
 
 import numpy as np
 
-from codeloom.llm.common import numbered, utf8
+from codeloom.llm.common import KEPT, numbered, utf8
 
 #: Texts with other white space than ASCII are encoded whole, too.
 _OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -113,7 +113,7 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = KEPT.setdefault("encoders", {})
 
 
 def encoder(path: str) -> Encoder:

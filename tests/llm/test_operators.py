@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from codeloom.llm import common, html_text, mixing, near_dedup, packing, quality_model, queries, repetition, substring_dedup, suffix_dedup, token_files, topk
@@ -235,6 +236,23 @@ def test_near_forests_meet(spark, monkeypatch):
     assert max(n for columns, n in made if columns == ["a", "b"]) <= 2 * 1.2 * 300  # both ways
 
 
+def test_workers_are_tidied(spark):
+    """What packing keeps in a worker is gone when another operator's task runs in it."""
+    docs = spark.createDataFrame([(k, f"word{k} and more") for k in range(8)], "doc_id long, text string").repartition(2)
+
+    def kept(batches):
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_pydict({"n": [len(common.KEPT.get("encoders", ()))]})
+
+    packing.pack(docs, queries.tokenizer_path()).collect()
+    assert sum(r.n for r in docs.mapInArrow(kept, "n long").collect())
+    near_dedup.sketches(docs, 3, 6, 30).collect()
+    substring_dedup.digest(docs).collect()
+    near_dedup.sketches(docs.repartition(16), 3, 6, 30).collect()
+    assert not sum(r.n for r in docs.mapInArrow(kept, "n long").collect())
+
+
 def test_thinned(spark):
     """Any links: the components stay, and no link is added."""
     r = random.Random(6)
