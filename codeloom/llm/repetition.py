@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.common import Words, cover, utf8
 
-LEAST_WORDS, MOST_COVERED, MOST_LONGEST = 8, 0.6, 200
+#: Gopher's rules bound repeats of eight words at a share of 0.12 (there of characters). A share of 0.5 or more would decide nothing: covered
+#: words are in repeated 3-word windows, too, and the base rules leave at most half of those.
+LEAST_WORDS, MOST_COVERED, MOST_LONGEST = 8, 0.12, 200
 STEP_BYTES = 1 << 20
 ROWS = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), ("base_failed", pa.bool_()), ("n_covered", pa.int64()), ("longest_repeat", pa.int64()), ("kept", pa.bool_())])
 DDL = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_covered long, longest_repeat long, kept boolean"
